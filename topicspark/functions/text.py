@@ -210,12 +210,21 @@ def lowercase_by_lang(text, lang, japanese: str = "ja") -> Column:
 
 
 def ngrams(tokens, n_min: int = 1, n_max: int = 1) -> Column:
-    """All n-grams for n in [n_min, n_max], tokens joined by a space."""
+    """All n-grams for n in [n_min, n_max], tokens joined by a space.
+
+    Built by zipping shifted slices, so each n costs one pass over the array
+    (no per-position slicing of the whole array).
+    """
     toks = _c(tokens)
     per_n = []
     for n in range(n_min, n_max + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))),
-                            lambda i, n=n: F.array_join(F.slice(toks, i, n), " "))
+        if n == 1:
+            per_n.append(toks)
+            continue
+        m = F.greatest(F.size(toks) - n + 1, F.lit(0))
+        grams = F.slice(toks, 1, m)
+        for k in range(1, n):
+            grams = F.zip_with(grams, F.slice(toks, k + 1, m), lambda a, b: F.concat_ws(" ", a, b))
         per_n.append(F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
     return per_n[0] if len(per_n) == 1 else F.concat(*per_n)
 
