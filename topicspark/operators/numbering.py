@@ -25,13 +25,13 @@ def dense_number(df: DataFrame, order_cols, out_col: str, weight_col: str | None
     spark = df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = F.col(weight_col).cast("bigint") if weight_col else F.lit(1).cast("bigint")
-    ranged = df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id()).withColumn("_w", w)
+    ranged = df.repartitionByRange(n_parts, *order).withColumn("__dn_pid", F.spark_partition_id()).withColumn("__dn_w", w)
     ranged = cut_lineage(ranged)
-    local = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.withColumn("_local", F.coalesce(F.sum("_w").over(local), F.lit(0)))
-    totals = ranged.groupBy("_pid").agg(F.sum("_w").alias("_tot"))
+    local = Window.partitionBy("__dn_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.withColumn("__dn_local", F.coalesce(F.sum("__dn_w").over(local), F.lit(0)))
+    totals = ranged.groupBy("__dn_pid").agg(F.sum("__dn_w").alias("__dn_tot"))
     # one row per partition: a tiny window, then a broadcast join
     offs = totals.withColumn(
-        "_off", F.coalesce(F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ranged.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-    return out.withColumn(out_col, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_pid", "_w", "_local", "_off")
+        "__dn_off", F.coalesce(F.sum("__dn_tot").over(Window.orderBy("__dn_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = ranged.join(F.broadcast(offs.select("__dn_pid", "__dn_off")), "__dn_pid")
+    return out.withColumn(out_col, (F.col("__dn_off") + F.col("__dn_local")).cast("bigint")).drop("__dn_pid", "__dn_w", "__dn_local", "__dn_off")
