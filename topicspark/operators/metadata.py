@@ -165,8 +165,8 @@ def pivot_dense(sparse: DataFrame, docs: DataFrame, topics: DataFrame, unit: str
     """
     topic_list = topics.select(F.array_sort(F.collect_set("topic"))).scalar()
     per_unit = sparse.groupBy(unit).agg(F.map_from_entries(F.collect_list(F.struct("topic", "prob"))).alias("_m"))
-    d = docs.select(unit).distinct().join(per_unit, unit, "left")
-    dense = d.select(unit, F.explode(F.transform(topic_list, lambda t: F.struct(
+    d = docs.select(unit).distinct().join(per_unit, unit, "left").withColumn("_tl", topic_list)
+    dense = d.select(unit, F.explode(F.transform("_tl", lambda t: F.struct(
         t.alias("topic"), F.coalesce(F.col("_m")[t], F.lit(0.0)).cast("double").alias("prob")))).alias("_p"))
     return dense.select(unit, "_p.topic", "_p.prob")
 

@@ -1 +1,280 @@
-"""Registered queries."""
+"""Registered queries: encoder, topic vectors, probabilities, clustering, sampling
+(E1, E2, K2-K8, A2-A4, X1-X3, R19)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from topicspark.operators import encode as E
+from topicspark.operators import metadata as M
+from topicspark.operators import model as K
+from topicspark.operators import sample as X
+from topicspark.operators import vectorize as V
+from topicspark.plans import common as C
+from topicspark.plans import fixtures as fx
+from topicspark.plans.catalog import query, with_ctes
+from topicspark.plans.fixtures import r6, sql_r6
+from topicspark.sources.tables import table
+
+DIMS = 64
+SEED = 42
+NR_DOCS = 5
+
+# --- Spark building blocks ------------------------------------------------------------
+
+
+def given_centroids(spark, sf):
+    emb_long = E.to_long(fx.doc_embedding(spark, sf))
+    return K.topic_centroids(emb_long, fx.doc_topic(spark, sf))
+
+
+def given_probs(spark, sf):
+    cents = K.centroid_array(given_centroids(spark, sf), DIMS)
+    return K.topic_probs(fx.doc_embedding(spark, sf), cents)
+
+
+def doc_weights(spark, sf):
+    """(docid, topic, genre, w): w = probability of the document for its own topic; 1 for outliers."""
+    dt = fx.doc_topic(spark, sf)
+    p = given_probs(spark, sf)
+    g = fx.corpus(spark, sf).select("docid", "genre")
+    j = dt.join(g, "docid").join(p, ["docid", "topic"], "left")
+    return j.select("docid", "topic", "genre",
+                    F.when(F.col("topic") == -1, F.lit(1.0)).otherwise(F.coalesce(F.col("prob"), F.lit(0.0))).alias("w"))
+
+
+def corpus_counts(spark, sf):
+    return V.term_counts(C.doc_tokens(spark, sf), "docid")
+
+
+def corpus_idf(spark, sf):
+    return E.fit_idf(corpus_counts(spark, sf))
+
+
+def doc_vectors(spark, sf):
+    """E1 vectors of all documents, long form."""
+    return E.hash_encode(corpus_counts(spark, sf), corpus_idf(spark, sf))
+
+
+# --- SQL building blocks --------------------------------------------------------------
+
+SQL_CENTROIDS = """el AS (SELECT docid, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS dim FROM doc_emb),
+members AS (SELECT * FROM doc_topic WHERE docid IN (SELECT docid FROM doc_emb)),
+msize AS (SELECT topic, count(*) AS m FROM members GROUP BY topic),
+cent AS (SELECT topic, dim, sum(CAST(value AS DOUBLE)) / any_value(m) AS value
+         FROM el JOIN members USING (docid) JOIN msize USING (topic) GROUP BY topic, dim),
+centv AS (SELECT topic, list(value ORDER BY dim) AS vec FROM cent WHERE topic <> -1 GROUP BY topic)"""
+
+SQL_PROBS = """sims AS (
+  SELECT e.docid, c.topic,
+         list_dot_product(CAST(e.embedding AS DOUBLE[]), c.vec)
+           / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(c.vec, c.vec))) AS sim
+  FROM doc_emb e, centv c),
+clip AS (SELECT docid, topic, greatest(coalesce(sim, 0.0), 0.0) AS c FROM sims),
+tot AS (SELECT docid, sum(c) AS t FROM clip GROUP BY docid),
+probs AS (SELECT docid, topic, c / t AS prob FROM clip JOIN tot USING (docid) WHERE t > 0 AND c > 0)"""
+
+
+def sql_model_ctes(*extra):
+    return with_ctes(fx.SQL_CORPUS, fx.SQL_DOC_TOPIC, fx.SQL_DOC_EMB, SQL_CENTROIDS, SQL_PROBS, *extra)
+
+
+SQL_TERMDIM = """CAST(('0x' || substr(md5(term), 1, 12))::BIGINT % 64 AS INTEGER)"""
+SQL_TERMSIGN = """CASE WHEN CAST(('0x' || substr(md5(term), 13, 1)) AS INTEGER) % 2 = 0 THEN 1.0 ELSE -1.0 END"""
+SQL_E1 = r"""dcounts AS (SELECT docid, term, count(*) AS n FROM toks GROUP BY docid, term),
+idf AS (SELECT term, count(*) AS df, (SELECT count(DISTINCT docid) FROM dcounts) AS n_units FROM dcounts GROUP BY term),
+e1raw AS (SELECT docid, """ + SQL_TERMDIM + """ AS dim, sum(n * ln(1 + n_units / df) * """ + SQL_TERMSIGN + """) AS raw
+          FROM dcounts JOIN idf USING (term) GROUP BY 1, 2),
+e1norm AS (SELECT docid, sqrt(sum(raw * raw)) AS norm FROM e1raw GROUP BY docid),
+e1 AS (SELECT docid, dim, raw / norm AS value FROM e1raw JOIN e1norm USING (docid) WHERE norm > 0)"""
+
+SQL_X1 = f"""xd AS (
+  SELECT dt.docid, dt.topic, coalesce(c.genre, '') AS stratum,
+         CASE WHEN dt.topic = -1 THEN 1.0 ELSE coalesce(p.prob, 0.0) END AS w
+  FROM doc_topic dt JOIN corpus c USING (docid) LEFT JOIN probs p ON p.docid = dt.docid AND p.topic = dt.topic),
+xst AS (SELECT topic, stratum, min(docid) AS first, sum(w) AS wsum FROM xd GROUP BY 1, 2),
+xst2 AS (SELECT topic, stratum, wsum <= 0 AS uniform,
+                row_number() OVER (PARTITION BY topic ORDER BY first, stratum) AS r, count(*) OVER (PARTITION BY topic) AS s
+         FROM xst),
+xq AS (SELECT topic, stratum, uniform, CAST(floor({{nr}} / s) + CASE WHEN r <= {{nr}} % s THEN 1 ELSE 0 END AS INTEGER) AS quota FROM xst2),
+xk AS (SELECT xd.*, xq.quota, CASE WHEN xq.uniform THEN 1.0 ELSE xd.w END AS ww,
+              (CAST(('0x' || substr(md5('{SEED}:' || CAST(docid AS VARCHAR)), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0 AS u
+       FROM xd JOIN xq USING (topic, stratum)),
+xk2 AS (SELECT *, CASE WHEN ww > 0 THEN -ln(u) / ww END AS key FROM xk),
+xdrawn AS (SELECT topic, docid FROM (
+             SELECT *, row_number() OVER (PARTITION BY topic, stratum ORDER BY key ASC NULLS LAST, docid) AS dr FROM xk2)
+           WHERE dr <= quota),
+xnc AS (SELECT topic, count(*) AS c FROM xdrawn GROUP BY topic),
+xrest AS (SELECT xd.*, {{nr}} - coalesce(xnc.c, 0) AS need FROM xd LEFT JOIN xnc USING (topic)
+          WHERE NOT EXISTS (SELECT 1 FROM xdrawn x WHERE x.topic = xd.topic AND x.docid = xd.docid)),
+xtop AS (SELECT topic, docid FROM (
+           SELECT *, row_number() OVER (PARTITION BY topic ORDER BY w DESC, docid DESC) AS tr FROM xrest WHERE need > 0)
+         WHERE tr <= need),
+x1 AS (SELECT topic, docid, CAST(rank AS INTEGER) AS rank FROM (
+         SELECT topic, docid, row_number() OVER (PARTITION BY topic ORDER BY docid) AS rank
+         FROM (SELECT * FROM xdrawn UNION ALL SELECT * FROM xtop)) WHERE rank <= {{nr}})"""
+
+
+def sql_x1(nr=NR_DOCS):
+    return SQL_X1.replace("{nr}", str(nr))
+
+
+# --- queries ---------------------------------------------------------------------------
+
+
+@query("topic_centroids", sql_model_ctes() + f"""
+SELECT topic, CAST(dim AS INTEGER) AS dim, {sql_r6('value')} AS value FROM cent""")
+def q_topic_centroids(spark, sf):
+    """K5: mean embedding of every topic's documents (long form)."""
+    c = given_centroids(spark, sf)
+    return c.select("topic", "dim", r6(F.col("value")).alias("value"))
+
+
+@query("topic_sizes", with_ctes(fx.SQL_DOC_TOPIC) + "\nSELECT topic, count(*) AS size FROM doc_topic GROUP BY topic")
+def q_topic_sizes(spark, sf):
+    """K6: documents per topic, -1 included."""
+    return K.topic_sizes(fx.doc_topic(spark, sf))
+
+
+@query("topic_probs", sql_model_ctes() + f"\nSELECT docid, topic, {sql_r6('prob')} AS prob FROM probs")
+def q_topic_probs(spark, sf):
+    """K4: probability of each document for each topic (clipped cosine to the centroid, normalised)."""
+    return given_probs(spark, sf).select("docid", "topic", r6(F.col("prob")).alias("prob"))
+
+
+@query("pivot_dense", sql_model_ctes() + f""",
+tl AS (SELECT DISTINCT topic FROM doc_topic WHERE topic <> -1)
+SELECT e.docid, tl.topic, {sql_r6('coalesce(p.prob, 0.0)')} AS prob
+FROM doc_emb e CROSS JOIN tl LEFT JOIN probs p ON p.docid = e.docid AND p.topic = tl.topic""")
+def q_pivot_dense(spark, sf):
+    """The sparse probabilities as a dense document x topic table with 0.0 filled in."""
+    topics = fx.doc_topic(spark, sf).where(F.col("topic") != -1)
+    d = M.pivot_dense(given_probs(spark, sf), fx.doc_embedding(spark, sf), topics)
+    return d.select("docid", "topic", r6(F.col("prob")).alias("prob"))
+
+
+@query("embed_docs", with_ctes(fx.SQL_CORPUS, C.SQL_TOKS, SQL_E1) + f"""
+SELECT docid, dim, {sql_r6('value')} AS value FROM e1""")
+def q_embed_docs(spark, sf):
+    """Hashed TF-IDF vector (64 dims, L2-normalised) of every document."""
+    return doc_vectors(spark, sf).select("docid", "dim", r6(F.col("value")).alias("value"))
+
+
+SQL_NEW_TEXT = r"""ctoks AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM conversations),
+ccounts AS (SELECT conv_id, turn, term, count(*) AS n FROM ctoks GROUP BY 1, 2, 3),
+craw AS (SELECT conv_id, turn, """ + SQL_TERMDIM + """ AS dim, sum(n * ln(1 + n_units / df) * """ + SQL_TERMSIGN + """) AS raw
+         FROM ccounts JOIN idf USING (term) GROUP BY 1, 2, 3),
+cnorm AS (SELECT conv_id, turn, sqrt(sum(raw * raw)) AS norm FROM craw GROUP BY 1, 2),
+cvec AS (SELECT conv_id, turn, list(coalesce(v.value, 0.0) ORDER BY g.dim) AS vec FROM
+           (SELECT conv_id, turn, dim, raw / norm AS value FROM craw JOIN cnorm USING (conv_id, turn) WHERE norm > 0) v
+           RIGHT JOIN (SELECT DISTINCT conv_id, turn, CAST(d AS INTEGER) AS dim FROM cnorm, range(0, 64) t(d) WHERE norm > 0) g
+           USING (conv_id, turn, dim) GROUP BY conv_id, turn),
+tsize AS (SELECT topic, count(*) AS m FROM doc_topic WHERE docid IN (SELECT docid FROM e1) GROUP BY topic),
+tc AS (SELECT topic, dim, sum(value) / any_value(m) AS value FROM e1 JOIN doc_topic USING (docid) JOIN tsize USING (topic)
+       WHERE topic <> -1 GROUP BY topic, dim),
+tv AS (SELECT t.topic, list(coalesce(tc.value, 0.0) ORDER BY t.dim) AS vec FROM
+         (SELECT DISTINCT topic, CAST(d AS INTEGER) AS dim FROM tc, range(0, 64) r(d)) t LEFT JOIN tc USING (topic, dim) GROUP BY t.topic),
+csims AS (SELECT c.conv_id, c.turn, t.topic,
+                 list_dot_product(c.vec, t.vec) / (sqrt(list_dot_product(c.vec, c.vec)) * sqrt(list_dot_product(t.vec, t.vec))) AS sim
+          FROM cvec c, tv t)"""
+
+
+def _topic_vectors_e1(spark, sf):
+    return K.centroid_array(K.topic_centroids(doc_vectors(spark, sf), fx.doc_topic(spark, sf)), DIMS)
+
+
+def _conv_vectors(spark, sf):
+    conv = table(spark, sf, "conversations").select("conv_id", "turn", C.T.tokenize_word("text").alias("tokens"))
+    counts = V.term_counts(conv, ["conv_id", "turn"])
+    idf = corpus_idf(spark, sf)
+    long = E.hash_encode(counts.withColumn("unit", F.struct("conv_id", "turn")).drop("conv_id", "turn"), idf, unit="unit")
+    dense = E.to_dense(long, unit="unit")
+    return dense.select("unit.conv_id", "unit.turn", "embedding")
+
+
+@query("assign_new", with_ctes(fx.SQL_CORPUS, fx.SQL_DOC_TOPIC, C.SQL_TOKS, SQL_E1, SQL_NEW_TEXT) + f"""
+SELECT conv_id, turn, CAST(CASE WHEN max(sim) >= 0 THEN arg_max(topic, sim) ELSE -1 END AS INTEGER) AS topic,
+       {sql_r6('max(sim)')} AS similarity
+FROM csims GROUP BY conv_id, turn""")
+def q_assign_new(spark, sf):
+    """K8: topic of every conversation turn (new text) by cosine of its E1 vector to the topic vectors."""
+    a = K.assign_new(_conv_vectors(spark, sf), _topic_vectors_e1(spark, sf), ["conv_id", "turn"])
+    return a.select("conv_id", "turn", "topic", r6(F.col("similarity")).alias("similarity"))
+
+
+@query("kmeans_topics")
+def q_kmeans_topics(spark, sf):
+    """K3: k-means (cosine, k = 10, seed 42) topics of the given embeddings, numbered by size."""
+    return K.kmeans_topics(fx.doc_embedding(spark, sf), 10, seed=SEED)
+
+
+@query("density_cluster")
+def q_density_cluster(spark, sf):
+    """K2: density topics with outliers (-1) from micro-cluster linking of the given embeddings."""
+    return K.density_topics(fx.doc_embedding(spark, sf), micro_k=40, min_topic_size=10, eps=0.35, seed=SEED)
+
+
+@query("reduce_2d")
+def q_reduce_2d(spark, sf):
+    """2-D coordinates of every embedded document (PCA)."""
+    return K.reduce_2d(fx.doc_embedding(spark, sf))
+
+
+def fix_similarity(spark, sf):
+    return K.topic_similarity(C.fix_ctfidf(spark, sf))
+
+
+@query("topic_similarity", C.sql_fix_ctes() + f""",
+nrm AS (SELECT topic, sqrt(sum(score * score)) AS norm FROM ctfidf GROUP BY topic)
+SELECT a.topic AS topic_a, b.topic AS topic_b, {sql_r6('sum(a.score * b.score) / (any_value(na.norm) * any_value(nb.norm))')} AS similarity
+FROM ctfidf a JOIN ctfidf b USING (term) JOIN nrm na ON na.topic = a.topic JOIN nrm nb ON nb.topic = b.topic
+GROUP BY a.topic, b.topic""")
+def q_topic_similarity(spark, sf):
+    """A2: topic x topic cosine similarity of the c-TF-IDF rows."""
+    return fix_similarity(spark, sf).select("topic_a", "topic_b", r6(F.col("similarity")).alias("similarity"))
+
+
+@query("topic_hierarchy")
+def q_topic_hierarchy(spark, sf):
+    """A3: average-linkage merge order of the topics from their c-TF-IDF similarity."""
+    return K.topic_hierarchy(fix_similarity(spark, sf), K.topic_sizes(fx.doc_topic(spark, sf)))
+
+
+@query("reduce_topics")
+def q_reduce_topics(spark, sf):
+    """K7: topics merged down to 5 (smallest into most similar), documents mapped, renumbered by size."""
+    dt = fx.doc_topic(spark, sf)
+    plan = K.reduce_topics_plan(fix_similarity(spark, sf), K.topic_sizes(dt), 5)
+    return K.apply_plan(dt, plan)
+
+
+@query("intertopic_map")
+def q_intertopic_map(spark, sf):
+    """A4: 2-D map of the topics (PCA of topic centroids) with their sizes."""
+    dt = fx.doc_topic(spark, sf)
+    return K.intertopic_map(given_centroids(spark, sf), K.topic_sizes(dt), DIMS)
+
+
+@query("stratified_docs", sql_model_ctes(sql_x1()) + "\nSELECT topic, docid, rank FROM x1")
+def q_stratified_docs(spark, sf):
+    """5 representative documents per topic, stratified by genre, weighted by topic probability."""
+    return X.stratified_docs(doc_weights(spark, sf), NR_DOCS, "genre", SEED).select("topic", "docid", F.col("rank").cast("int"))
+
+
+@query("representative_for_topic", sql_model_ctes(sql_x1().replace("FROM doc_topic dt JOIN", "FROM (SELECT * FROM doc_topic WHERE topic = 0) dt JOIN")) + """,
+xw AS (SELECT x1.docid, xd.w FROM x1 JOIN xd USING (docid))
+SELECT 0 AS topic, docid, CAST(row_number() OVER (ORDER BY w DESC, docid) AS INTEGER) AS display_rank FROM xw""")
+def q_representative_for_topic(spark, sf):
+    """Representative documents of topic 0, by weight."""
+    return X.representative_for_topic(doc_weights(spark, sf), 0, NR_DOCS, "genre", SEED)
+
+
+@query("sample_per_topic", with_ctes(fx.SQL_DOC_TOPIC) + f""",
+s AS (SELECT topic, count(*) AS n FROM doc_topic GROUP BY topic),
+k AS (SELECT d.docid, d.topic, greatest(1, floor(s.n * 0.1)) AS kk,
+             (CAST(('0x' || substr(md5('{SEED}:' || CAST(docid AS VARCHAR)), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0 AS u
+      FROM doc_topic d JOIN s USING (topic))
+SELECT docid, topic FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY u, docid) AS r FROM k) WHERE r <= kk""")
+def q_sample_per_topic(spark, sf):
+    """A 10 % sample of every topic (at least one document), without replacement."""
+    return X.sample_per_topic(fx.doc_topic(spark, sf), 0.1, SEED).select("docid", "topic")
