@@ -8,7 +8,7 @@ L1-normalized form of the library the reference calls).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspark.operators.topk import top_k
@@ -34,11 +34,14 @@ def ctfidf(counts: DataFrame, n_topics, max_df: float | None = None, normalize:
     if max_df is not None:
         counts = count_vectorize(counts, "topic", n_topics, max_df=max_df)
     n_t = n_topics if not isinstance(n_topics, int) else F.lit(n_topics)
-    words = counts.groupBy("topic").agg(F.sum("n").alias("words"))
+    # topic totals are K rows: the corpus total is a window over them, not a
+    # second pass over the term counts
+    words = (counts.groupBy("topic").agg(F.sum("n").alias("words"))
+             .withColumn("_total", F.sum("words").over(Window.partitionBy())))
+    avg = F.col("_total") / n_t
+    words = words.withColumn("_a", F.floor(avg) if integer_avg else avg).drop("_total")
     freq = counts.groupBy("term").agg(F.sum("n").alias("f"))
-    total = counts.select(F.sum("n")).scalar()
-    avg = total / n_t
-    a = F.floor(avg) if integer_avg else avg
+    a = F.col("_a")
     out = counts.join(words, "topic").join(freq, "term")
     tf = (F.col("n") / F.col("words")) if normalize else F.col("n").cast("double")
     return out.select("topic", "term", "n", tf.alias("tf"),

@@ -23,3 +23,285 @@ def q_topic_top_words(spark, sf):
     """The 10 most distinctive words of each topic (the flagship query)."""
     t = C.fix_top_words(spark, sf)
     return t.select("topic", "rank", "term", r6(F.col("score")).alias("score"))
+
+
+# --- representations, labels, label files ----------------------------------------------
+
+import pandas as pd  # noqa: E402
+
+from topicspark.functions import tagging as TG  # noqa: E402
+from topicspark.functions import text as T  # noqa: E402
+from topicspark.operators import ctfidf as G  # noqa: E402
+from topicspark.operators import encode as E  # noqa: E402
+from topicspark.operators import labels as L  # noqa: E402
+from topicspark.operators import model as K  # noqa: E402
+from topicspark.operators import sample as X  # noqa: E402
+from topicspark.plans import fixtures as fx  # noqa: E402
+from topicspark.plans import q_model as QM  # noqa: E402
+from topicspark.plans.catalog import with_ctes  # noqa: E402
+from topicspark.session import scratch_path  # noqa: E402
+from topicspark.sources import files as S  # noqa: E402
+
+N_CAND = 30
+
+
+def _x1(spark, sf, nr=QM.NR_DOCS):
+    return X.stratified_docs(QM.doc_weights(spark, sf), nr, "genre", QM.SEED)
+
+
+def keybert_scores(spark, sf):
+    """Candidates (top 30 c-TF-IDF words) scored by cosine of the word's E1 vector
+    to the mean E1 vector of the topic's representative documents."""
+    cand = G.top_words(C.fix_ctfidf(spark, sf), N_CAND).select("topic", "term")
+    rep = _x1(spark, sf).select("docid", "topic")
+    tv = K.topic_centroids(QM.doc_vectors(spark, sf), rep)
+    norms = tv.groupBy("topic").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
+    dim, sign = E.term_dim("term")
+    c = cand.select("topic", "term", dim.alias("dim"), sign.alias("_sign"))
+    j = c.join(tv, ["topic", "dim"], "left").join(norms, "topic", "left")
+    sim = F.try_divide(F.col("_sign") * F.coalesce(F.col("value"), F.lit(0.0)), F.col("_norm"))
+    return j.select("topic", "term", F.coalesce(sim, F.lit(0.0)).alias("score"))
+
+
+SQL_KEYBERT = f"""cand AS (SELECT topic, term FROM (
+   SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS r FROM ctfidf) WHERE r <= {N_CAND}),
+repd AS (SELECT docid, topic FROM x1),
+rsize AS (SELECT topic, count(*) AS m FROM repd WHERE docid IN (SELECT docid FROM e1) GROUP BY topic),
+tvec AS (SELECT topic, dim, sum(value) / any_value(m) AS value FROM e1 JOIN repd USING (docid) JOIN rsize USING (topic) GROUP BY topic, dim),
+tnorm AS (SELECT topic, sqrt(sum(value * value)) AS norm FROM tvec GROUP BY topic),
+kb AS (SELECT c.topic, c.term,
+         coalesce(CASE WHEN n.norm > 0 THEN {QM.SQL_TERMSIGN.replace('term', 'c.term')} * coalesce(v.value, 0.0) / n.norm END, 0.0) AS score
+       FROM cand c LEFT JOIN tvec v ON v.topic = c.topic AND v.dim = {QM.SQL_TERMDIM.replace('term', 'c.term')}
+       LEFT JOIN tnorm n ON n.topic = c.topic)"""
+
+SQL_KB_CTES = QM.sql_model_ctes(QM.sql_x1(), C.SQL_TOKS, C.SQL_CTFIDF, QM.SQL_E1, SQL_KEYBERT)
+
+
+@query("rep_keybert", SQL_KB_CTES + f"""
+SELECT topic, CAST(rank AS INTEGER) AS rank, term, {sql_r6('score')} AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM kb) WHERE rank <= 10""")
+def q_rep_keybert(spark, sf):
+    """Keywords re-ranked by similarity to the topic's representative documents."""
+    kb = keybert_scores(spark, sf)
+    top = G.top_words(kb, 10)
+    return top.select("topic", "rank", "term", r6(F.col("score")).alias("score"))
+
+
+def mmr_select(scores, n: int = 10, diversity: float = 0.5):
+    """Greedy maximal marginal relevance per topic over its candidates.
+
+    Word-word similarity is the cosine of the words' E1 vectors (one signed
+    dimension each).  Candidates per topic are bounded (top 30), so each
+    topic's selection runs in one small pandas group.
+    """
+    dim, sign = E.term_dim("term")
+    s = scores.select("topic", "term", F.col("score").cast("double").alias("rel"), dim.alias("dim"), sign.alias("sign"))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("term").reset_index(drop=True)
+        chosen, rows = [], []
+        remaining = list(range(len(pdf)))
+        while remaining and len(chosen) < n:
+            best, best_v = None, None
+            for i in remaining:
+                if chosen:
+                    red = max((pdf.sign[i] * pdf.sign[j]) if pdf.dim[i] == pdf.dim[j] else 0.0 for j in chosen)
+                    v = (1 - diversity) * pdf.rel[i] - diversity * red
+                else:
+                    v = pdf.rel[i]
+                if best_v is None or v > best_v + 1e-12:
+                    best, best_v = i, v
+            chosen.append(best)
+            remaining.remove(best)
+            rows.append((int(pdf.topic[best]), len(chosen), pdf.term[best], float(best_v)))
+        return pd.DataFrame(rows, columns=["topic", "rank", "term", "score"])
+
+    return s.groupBy("topic").applyInPandas(pick, "topic int, rank int, term string, score double")
+
+
+@query("rep_mmr")
+def q_rep_mmr(spark, sf):
+    """10 diverse keywords per topic by maximal marginal relevance (diversity 0.5)."""
+    return mmr_select(keybert_scores(spark, sf), 10, 0.5)
+
+
+def pos_scores(spark, sf):
+    """C-TF-IDF words of a topic restricted to lemmas tagged as proper nouns in its documents."""
+    d = fx.corpus(spark, sf).select("docid", TG.default_tagger("text").alias("tg"))
+    pn = (d.select("docid", F.explode("tg").alias("t")).where(F.col("t.pos2") == "固有名詞")
+          .select("docid", F.col("t.lemma").alias("term")).join(fx.doc_topic(spark, sf), "docid")
+          .select("topic", "term").distinct())
+    return C.fix_ctfidf(spark, sf).join(pn, ["topic", "term"], "left_semi")
+
+
+SQL_POS = """pn AS (SELECT DISTINCT dt.topic, t.lemma AS term FROM (
+    SELECT docid, unnest(""" + TG.sql_tagger("text") + """) AS t FROM corpus) x JOIN doc_topic dt USING (docid)
+  WHERE t.pos2 = '固有名詞'),
+posw AS (SELECT c.* FROM ctfidf c JOIN pn USING (topic, term))"""
+
+
+@query("rep_pos", C.sql_fix_ctes(SQL_POS) + f"""
+SELECT topic, CAST(rank AS INTEGER) AS rank, term, {sql_r6('score')} AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM posw) WHERE rank <= 10""")
+def q_rep_pos(spark, sf):
+    """Keywords restricted by part of speech (proper nouns) per topic."""
+    top = G.top_words(pos_scores(spark, sf), 10)
+    return top.select("topic", "rank", "term", r6(F.col("score")).alias("score"))
+
+
+def aspects_table(spark, sf):
+    main = C.fix_top_words(spark, sf).select(F.lit("Main").alias("aspect"), "topic", "rank", "term", "score")
+    kb = G.top_words(keybert_scores(spark, sf), 10).select(F.lit("KeyBERT").alias("aspect"), "topic", "rank", "term", "score")
+    pos = G.top_words(pos_scores(spark, sf), 10).select(F.lit("POS").alias("aspect"), "topic", "rank", "term", "score")
+    return main.unionByName(kb).unionByName(pos)
+
+
+SQL_ASPECTS = """asp AS (
+  SELECT 'Main' AS aspect, topic, rank, term, score FROM topw
+  UNION ALL SELECT 'KeyBERT', topic, rank, term, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM kb) WHERE rank <= 10
+  UNION ALL SELECT 'POS', topic, rank, term, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM posw) WHERE rank <= 10),
+pairs AS (SELECT a.aspect, t.topic FROM (VALUES ('Main'), ('KeyBERT'), ('POS')) a(aspect), (SELECT DISTINCT topic FROM doc_topic) t),
+filled AS (
+  SELECT * FROM asp
+  UNION ALL
+  SELECT p.aspect, p.topic, 1, tw.term, 1.0 FROM pairs p JOIN topw tw ON tw.topic = p.topic AND tw.rank = 1
+  WHERE NOT EXISTS (SELECT 1 FROM asp WHERE asp.aspect = p.aspect AND asp.topic = p.topic))"""
+
+SQL_ASPECT_CTES = SQL_KB_CTES + ",\n" + C.SQL_TOPWORDS + ",\n" + SQL_POS + ",\n" + SQL_ASPECTS
+
+
+@query("aspect_fill", SQL_ASPECT_CTES + f"""
+SELECT aspect, topic, CAST(rank AS INTEGER) AS rank, term, {sql_r6('score')} AS score FROM filled""")
+def q_aspect_fill(spark, sf):
+    """Every (aspect, topic) has words: an empty one is seeded with the topic's best word (score 1)."""
+    asp = aspects_table(spark, sf)
+    f = L.aspect_fill(asp, C.fix_top_words(spark, sf), fx.doc_topic(spark, sf), ["Main", "KeyBERT", "POS"])
+    return f.select("aspect", "topic", F.col("rank").cast("int"), "term", r6(F.col("score")).alias("score"))
+
+
+@query("struct_flatten", SQL_ASPECT_CTES + """
+SELECT topic, string_agg(CASE WHEN aspect = 'KeyBERT' THEN term END, ',' ORDER BY rank) AS keybert,
+       string_agg(CASE WHEN aspect = 'Main' THEN term END, ',' ORDER BY rank) AS main,
+       string_agg(CASE WHEN aspect = 'POS' THEN term END, ',' ORDER BY rank) AS pos
+FROM filled GROUP BY topic""")
+def q_struct_flatten(spark, sf):
+    """One column per aspect (words joined by ','); aspects empty for every topic are dropped
+    (here the label-model aspect, whose labeler is not installed)."""
+    asp = L.aspect_fill(aspects_table(spark, sf), C.fix_top_words(spark, sf), fx.doc_topic(spark, sf),
+                        ["Main", "KeyBERT", "POS"])
+    llm = asp.limit(0).withColumn("aspect", F.lit("LLM"))
+    allasp = asp.unionByName(llm)
+    names = ["KeyBERT", "LLM", "Main", "POS"]
+    wide = (allasp.groupBy("topic").pivot("aspect", names)
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), ",")))
+    nonempty = wide.select(*[F.max(F.coalesce(F.length(F.col(n)), F.lit(0)) > 0).alias(n) for n in names]).first()
+    keep = [n for n in names if nonempty[n]]
+    return wide.select("topic", *[F.col(n).alias(n.lower()) for n in keep])
+
+
+@query("llm_prompt_table", QM.sql_model_ctes(QM.sql_x1(8), C.SQL_TOKS, C.SQL_CTFIDF, C.SQL_TOPWORDS) + f""",
+dt AS (SELECT x1.topic, x1.docid, array_to_string(regexp_extract_all(lower(c.text), '[\\p{{L}}\\p{{N}}]+')[1:100], ' ') AS d
+       FROM x1 JOIN corpus c USING (docid)),
+dtext AS (SELECT topic, string_agg('- ' || d || chr(10), '' ORDER BY docid) AS doctext FROM dt GROUP BY topic),
+kw AS (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS kw FROM topw GROUP BY topic)
+SELECT kw.topic, md5(replace(replace($${L.default_prompt('English')}$$, '[DOCUMENTS]', coalesce(dtext.doctext, '')), '[KEYWORDS]', kw.kw)) AS prompt_md5
+FROM kw LEFT JOIN dtext USING (topic)""")
+def q_llm_prompt_table(spark, sf):
+    """Label prompt of every topic (8 representative documents cut to 100 tokens, 10 keywords)."""
+    rep = _x1(spark, sf, 8).join(C.doc_tokens(spark, sf), "docid").select("topic", "docid", "tokens")
+    p = L.llm_prompt_table(rep, C.fix_top_words(spark, sf), "English")
+    return p.select("topic", F.md5("prompt").alias("prompt_md5"))
+
+
+SQL_LABELS = """lab3 AS (SELECT topic, CAST(topic AS VARCHAR) || ': ' || regexp_replace(string_agg(term, '_' ORDER BY rank), '_+$', '') AS label
+                FROM topw WHERE rank <= 3 GROUP BY topic),
+lab1 AS (SELECT topic, CAST(topic AS VARCHAR) || ': ' || regexp_replace(string_agg(term, '_' ORDER BY rank), '_+$', '') AS label
+         FROM topw WHERE rank <= 1 GROUP BY topic),
+names AS (SELECT topic, CAST(topic AS VARCHAR) || '_' || string_agg(term, '_' ORDER BY rank) AS name FROM topw WHERE rank <= 4 GROUP BY topic),
+custom AS (SELECT topic, CASE WHEN topic = -1 THEN NULL ELSE label END AS custom_label FROM lab1)"""
+
+
+@query("generate_labels", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_LABELS) + "\nSELECT topic, label FROM lab3")
+def q_generate_labels(spark, sf):
+    """G8: '{topic}: w1_w2_w3' label of every topic."""
+    return L.generate_labels(C.fix_top_words(spark, sf), 3, fx.doc_topic(spark, sf))
+
+
+def _no_labeler(prompts):
+    """The label model is not installed: every suggestion is missing."""
+    return prompts.select("topic", F.lit(None).cast("string").alias("suggestion"))
+
+
+L.register_labeler("none", _no_labeler)
+
+
+@query("label_fallback", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_LABELS) + "\nSELECT topic, label FROM lab3")
+def q_label_fallback(spark, sf):
+    """Labeler suggestions with the 3-word fallback (no label model installed: all fall back)."""
+    top = C.fix_top_words(spark, sf)
+    sugg = L.labeler("none")(top.select("topic").distinct())
+    return L.label_fallback(sugg, top, fx.doc_topic(spark, sf))
+
+
+def _custom_edits(spark, sf):
+    one = L.generate_labels(C.fix_top_words(spark, sf), 1)
+    v1 = one.select("topic", F.col("label").alias("custom_label"), F.lit(1).alias("version"))
+    v2 = one.where(F.col("topic") == -1).select("topic", F.lit(None).cast("string").alias("custom_label"), F.lit(2).alias("version"))
+    return v1.unionByName(v2)
+
+
+@query("custom_label_overlay", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_LABELS) + """
+SELECT l.topic, l.label, c.custom_label FROM lab3 l LEFT JOIN custom c USING (topic)""")
+def q_custom_label_overlay(spark, sf):
+    """Custom labels (an edit to 1-word labels, then a reset of the outlier topic) over the generated ones."""
+    base = L.generate_labels(C.fix_top_words(spark, sf), 3)
+    return L.custom_label_overlay(base, _custom_edits(spark, sf))
+
+
+@query("topic_label_map", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_LABELS) + """,
+info AS (SELECT n.topic, n.name, c.custom_label AS custom_name FROM names n LEFT JOIN custom c USING (topic)),
+raw AS (SELECT topic, coalesce(nullif(custom_name, ''), nullif(name, ''), '') AS r FROM info),
+clean AS (SELECT topic, CASE WHEN starts_with(r, CAST(topic AS VARCHAR) || ': ') THEN substr(r, length(CAST(topic AS VARCHAR) || ': ') + 1) ELSE r END AS c FROM raw)
+SELECT topic, CASE WHEN c = '' THEN CAST(topic AS VARCHAR) ELSE c END AS display_label FROM clean""")
+def q_topic_label_map(spark, sf):
+    """Display label of every topic (custom name, else name; prefix stripped)."""
+    top = C.fix_top_words(spark, sf)
+    ov = L.custom_label_overlay(L.topic_names(top), _custom_edits(spark, sf))
+    info = ov.select("topic", "name", F.col("custom_label").alias("custom_name"))
+    return L.topic_label_map(info)
+
+
+@query("topic_info", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_LABELS) + """,
+sizes AS (SELECT topic, count(*) AS count FROM doc_topic GROUP BY topic),
+mw AS (SELECT topic, string_agg(term, ',' ORDER BY rank) AS main FROM topw GROUP BY topic)
+SELECT s.topic, s.count, n.name, c.custom_label AS custom_name, mw.main
+FROM sizes s LEFT JOIN names n USING (topic) LEFT JOIN custom c USING (topic) LEFT JOIN mw USING (topic)""")
+def q_topic_info(spark, sf):
+    """Topic, count, name, custom name and main words of every topic."""
+    top = C.fix_top_words(spark, sf)
+    custom = L.custom_label_overlay(top.select("topic").distinct(), _custom_edits(spark, sf))
+    asp = top.select(F.lit("Main").alias("aspect"), "topic", "rank", "term")
+    info = L.topic_info(fx.doc_topic(spark, sf), top, custom, asp)
+    return info.select("topic", "count", "name", "custom_name", F.array_join(F.col("representation")["Main"], ",").alias("main"))
+
+
+@query("labels_export", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_LABELS) + """
+SELECT topic AS topic_id, substr(label, length(CAST(topic AS VARCHAR) || ': ') + 1) AS custom_label FROM lab3""")
+def q_labels_export(spark, sf):
+    """Generated labels written as a (topic_id, custom_label) CSV in the shared folder, read back."""
+    path = scratch_path(spark, "labels_csv")
+    S.export_labels(L.generate_labels(C.fix_top_words(spark, sf), 3), path)
+    return spark.read.schema(S.LABELS_CSV).option("header", True).csv(path)
+
+
+@query("labels_import", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_LABELS) + """
+SELECT l.topic, l.label, coalesce(nullif(substr(o.label, length(CAST(o.topic AS VARCHAR) || ': ') + 1), ''), l.label) AS custom_label
+FROM lab3 l LEFT JOIN lab1 o USING (topic)""")
+def q_labels_import(spark, sf):
+    """A labels CSV (1-word labels) imported over the 3-word labels; unknown topics ignored."""
+    path = scratch_path(spark, "labels_csv")
+    top = C.fix_top_words(spark, sf)
+    S.export_labels(L.generate_labels(top, 1), path)
+    return S.import_labels(spark, path, L.generate_labels(top, 3))
