@@ -44,8 +44,8 @@ def ctfidf(counts: DataFrame, n_topics, max_df: float | None = None, normalize:
     a = F.col("_a")
     out = counts.join(words, "topic").join(freq, "term")
     tf = (F.col("n") / F.col("words")) if normalize else F.col("n").cast("double")
-    return out.select("topic", "term", "n", tf.alias("tf"),
-                      (tf * F.log(F.lit(1.0) + a / F.col("f"))).alias("score"))
+    idf = F.log(F.lit(1.0) + a / F.col("f"))
+    return out.select("topic", "term", "n", tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("score"))
 
 
 def top_words(scores: DataFrame, n: int = 10, group_cols=("topic",)) -> DataFrame:

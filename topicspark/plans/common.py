@@ -45,7 +45,7 @@ words AS (SELECT topic, sum(n) AS words FROM tcv GROUP BY topic),
 freq AS (SELECT term, sum(n) AS f FROM tcv GROUP BY term),
 avgw AS (SELECT floor(sum(n) / (SELECT k FROM ntop)) AS a FROM tcv),
 ctfidf AS (
-  SELECT tcv.topic, tcv.term, tcv.n, tcv.n / words.words AS tf,
+  SELECT tcv.topic, tcv.term, tcv.n, tcv.n / words.words AS tf, ln(1 + (SELECT a FROM avgw) / freq.f) AS idf,
          tcv.n / words.words * ln(1 + (SELECT a FROM avgw) / freq.f) AS score
   FROM tcv JOIN words USING (topic) JOIN freq USING (term))"""
 
