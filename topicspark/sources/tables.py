@@ -16,16 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def read_text_corpus(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+def read_text_corpus(spark: SparkSession, path: str, pattern: str = "*.txt", filename_from_dir: bool = False) -> DataFrame:
     """One row per text file: raw(filename, title, text); title = file stem.
 
     ``wholetext`` keeps a file in one row, so a document is never split across
-    tasks; many files spread over many tasks.
+    tasks; many files spread over many tasks.  With ``filename_from_dir`` the
+    name comes from a ``filename=<name>`` folder (files written by
+    ``partitionBy("filename")``), whose single trailing line break is removed.
     """
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", pattern)
-          .text(path).select("value", "_metadata.file_name"))
-    return df.select(
-        F.col("file_name").alias("filename"),
-        F.regexp_replace("file_name", r"\.[^.]*$", "").alias("title"),
-        F.col("value").alias("text"),
-    )
+    reader = spark.read
+    if filename_from_dir:
+        df = reader.text(path, wholetext=True)
+        df = df.select(F.col("filename"), F.expr("substring(value, 1, length(value) - 1)").alias("value"))
+        name = F.col("filename")
+    else:
+        df = reader.option("pathGlobFilter", pattern).text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("filename"))
+        name = F.col("filename")
+    return df.select(name.alias("filename"), F.regexp_replace(name, r"\.[^.]*$", "").alias("title"),
+                     F.col("value").alias("text"))
