@@ -278,3 +278,24 @@ SELECT docid, topic FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER
 def q_sample_per_topic(spark, sf):
     """A 10 % sample of every topic (at least one document), without replacement."""
     return X.sample_per_topic(fx.doc_topic(spark, sf), 0.1, SEED).select("docid", "topic")
+
+
+@query("stream_assign", with_ctes(fx.SQL_CORPUS, fx.SQL_DOC_TOPIC, C.SQL_TOKS, SQL_E1, SQL_NEW_TEXT) + f"""
+SELECT conv_id, turn, CAST(CASE WHEN max(sim) >= 0 THEN arg_max(topic, sim) ELSE -1 END AS INTEGER) AS topic,
+       {sql_r6('max(sim)')} AS similarity
+FROM csims GROUP BY conv_id, turn""")
+def q_stream_assign(spark, sf):
+    """K8 as a Structured Streaming job: conversation turns arrive as 4 Parquet files, one file
+    per micro-batch; every batch is assigned to topics; the result is the union of the batch outputs."""
+    from topicspark.session import ensure_checkpoint_dir, scratch_path
+    from topicspark.streaming.assign import start_assignment_stream
+    ensure_checkpoint_dir(spark)
+    src = scratch_path(spark, "stream_in")
+    conv = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    conv.repartition(4, "conv_id").write.parquet(src)
+    out, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
+    q = start_assignment_stream(spark, src, conv.schema, out, ckpt, corpus_idf(spark, sf),
+                                _topic_vectors_e1(spark, sf), ["conv_id", "turn"])
+    q.awaitTermination()
+    res = spark.read.parquet(out)
+    return res.select("conv_id", "turn", "topic", r6(F.col("similarity")).alias("similarity"))
