@@ -125,6 +125,9 @@ def chunk_paragraphs(docs: DataFrame, settings: ChunkSettings, tokenizer=None) -
     step3 = step2.select(*extra, "filename", "title", "_flat", spans.alias("_spans"))
     texts = F.transform("_spans", lambda x: F.struct(
         F.array_join(F.slice("_flat", x["s"] + 1, x["l"]), sep).alias("text"), x["l"].alias("n_tokens")))
+    # _flat is used inside the lambda; a second reference outside it keeps the
+    # optimizer from inlining (re-flattening) the array once per chunk
+    texts = F.when(F.size("_flat") >= 0, texts)
     step4 = step3.select(*extra, "filename", "title", texts.alias("_chunks"))
     if settings.language == "Japanese":
         # Japanese re-tokenizes the joined chunk, so the count may change
@@ -143,7 +146,9 @@ def assign_docids(per_doc: DataFrame) -> DataFrame:
     (only the filename and count columns are read back), then join back on
     filename (AQE broadcasts the offsets when they are small).
     """
-    per_doc = materialize(per_doc.where(F.col("_n") > 0), "chunks")
+    # filter after the write: pushed into the Parquet scan instead of
+    # duplicating the chunking expressions in a pushed-down predicate
+    per_doc = materialize(per_doc, "chunks").where(F.col("_n") > 0)
     offs = dense_number(per_doc.select("filename", "_n"), "filename", "_off", weight_col="_n")
     out = per_doc.join(offs.select("filename", "_off"), "filename")
     out = out.select("*", F.posexplode("_chunks").alias("chunk_ix", "_ch"))

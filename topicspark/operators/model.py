@@ -59,6 +59,8 @@ def cosine_to_topics(docs: DataFrame, cents, vec_col: str = "embedding") -> Data
     d = docs.withColumn("_v", v).withColumn("_n", F.sqrt(_dot(F.col("_v"), F.col("_v")))).withColumn("_cents", cents)
     sims = F.transform("_cents", lambda c: F.struct(c["topic"].alias("topic"),
                                                     F.try_divide(_dot(F.col("_v"), c["vec"]), F.col("_n") * c["norm"]).alias("sim")))
+    # second references outside the lambda keep _v and _n computed once per row
+    sims = F.when((F.size("_v") >= 0) & (F.col("_n") >= 0), sims)
     return d.withColumn("sims", sims).drop("_v", "_n", "_cents")
 
 

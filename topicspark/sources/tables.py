@@ -11,9 +11,40 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+# Tables whose rows carry heavy per-row text work, with the key to spread them by.
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "benchmark": "item_id"}
+
+
+def _input_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(jpath).getLength())
+
+
+def spread_small_input(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Hash-spread a text table over all cores when its files cannot give one split per core.
+
+    A scan splits at most per Parquet row group; a small table written as one
+    row group is read by one task, and everything per-row after it (tokenizing,
+    chunking) would run in that task.  Large inputs already have more splits
+    than cores and are left alone (no shuffle of the raw text at scale).
+    """
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    max_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if _input_bytes(spark, path) < max_bytes * par:
+        return df.repartition(par, key)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; Catalyst prunes columns and pushes filters into the scan."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    if name in TEXT_TABLES:
+        df = spread_small_input(df, path, TEXT_TABLES[name])
+    return df
 
 
 def read_text_corpus(spark: SparkSession, path: str, pattern: str = "*.txt", filename_from_dir: bool = False) -> DataFrame:
