@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from topicspark.functions import text as T
 from topicspark.operators import ctfidf as G
 from topicspark.plans import fixtures as fx
+from topicspark.plans.catalog import reused
 
 MAX_DF = 0.9       # topic-level max_df of the presets
 TOP_N = 10         # words per topic
 
 
+@reused("doc_tokens")
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """(docid, tokens) with the default analytical tokenizer."""
     return fx.corpus(spark, sf).select("docid", T.tokenize_word("text").alias("tokens"))
@@ -22,6 +24,7 @@ def n_topics(spark: SparkSession, sf: str):
     return fx.doc_topic(spark, sf).select(F.countDistinct("topic")).scalar()
 
 
+@reused("ctfidf")
 def fix_ctfidf(spark: SparkSession, sf: str, max_df: float | None = MAX_DF) -> DataFrame:
     counts = G.topic_term_counts(doc_tokens(spark, sf), fx.doc_topic(spark, sf))
     return G.ctfidf(counts, n_topics(spark, sf), max_df=max_df)

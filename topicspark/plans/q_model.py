@@ -12,7 +12,7 @@ from topicspark.operators import sample as X
 from topicspark.operators import vectorize as V
 from topicspark.plans import common as C
 from topicspark.plans import fixtures as fx
-from topicspark.plans.catalog import query, with_ctes
+from topicspark.plans.catalog import query, reused, with_ctes
 from topicspark.plans.fixtures import r6, sql_r6
 from topicspark.sources.tables import table
 
@@ -28,6 +28,7 @@ def given_centroids(spark, sf):
     return K.topic_centroids(emb_long, fx.doc_topic(spark, sf))
 
 
+@reused("given_probs")
 def given_probs(spark, sf):
     cents = K.centroid_array(given_centroids(spark, sf), DIMS)
     return K.topic_probs(fx.doc_embedding(spark, sf), cents)
@@ -43,14 +44,17 @@ def doc_weights(spark, sf):
                     F.when(F.col("topic") == -1, F.lit(1.0)).otherwise(F.coalesce(F.col("prob"), F.lit(0.0))).alias("w"))
 
 
+@reused("corpus_counts")
 def corpus_counts(spark, sf):
     return V.term_counts(C.doc_tokens(spark, sf), "docid")
 
 
+@reused("corpus_idf")
 def corpus_idf(spark, sf):
     return E.fit_idf(corpus_counts(spark, sf))
 
 
+@reused("doc_vectors")
 def doc_vectors(spark, sf):
     """E1 vectors of all documents, long form."""
     return E.hash_encode(corpus_counts(spark, sf), corpus_idf(spark, sf))

@@ -26,6 +26,21 @@ DEFAULT_CONF = {
 }
 
 
+# SQL settings the queries rely on for correct results; applied at run time to
+# any session (also one created by someone else).  With union output
+# partitioning on, Spark 4.1 may treat a union of two hash-partitioned
+# children as partitioned by the key and skip the exchange a later join or
+# aggregate needs (seen as duplicated join rows); it is switched off.
+RUNTIME_SQL_CONF = {
+    "spark.sql.unionOutputPartitioning": "false",
+}
+
+
+def configure_session(spark: SparkSession) -> None:
+    for k, v in RUNTIME_SQL_CONF.items():
+        spark.conf.set(k, v)
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "topicspark", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -39,12 +54,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    configure_session(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder; create a private one only if unset."""
+    configure_session(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
