@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspark.operators.topk import top_k
-from topicspark.operators.vectorize import count_vectorize
 
 
 def topic_term_counts(tokens: DataFrame, doc_topic: DataFrame, tokens_col: str = "tokens",
@@ -26,25 +25,26 @@ def topic_term_counts(tokens: DataFrame, doc_topic: DataFrame, tokens_col: str =
 
 def ctfidf(counts: DataFrame, n_topics, max_df: float | None = None, normalize: bool = True,
            integer_avg: bool = True) -> DataFrame:
-    """G1: (topic, term, n, tf, score) from (topic, term, n).
+    """G1: (topic, term, n, tf, idf, score) from (topic, term, n).
 
     ``n_topics`` is the number of topics (units of ``max_df``); a Column
-    (scalar subquery) or an int.
+    (scalar subquery) or an int.  One groupBy(term) gives both the topic
+    frequency (for max_df) and the corpus frequency f; removing a term removes
+    it from every topic, so f of the kept terms is unchanged by the filter.
+    The topic totals are K rows; the corpus total is a window over them.
     """
-    if max_df is not None:
-        counts = count_vectorize(counts, "topic", n_topics, max_df=max_df)
     n_t = n_topics if not isinstance(n_topics, int) else F.lit(n_topics)
-    # topic totals are K rows: the corpus total is a window over them, not a
-    # second pass over the term counts
-    words = (counts.groupBy("topic").agg(F.sum("n").alias("words"))
+    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("n").alias("f"))
+    if max_df is not None:
+        terms = terms.where(F.col("_df") <= n_t * F.lit(float(max_df)))
+    kept = counts.join(terms.select("term", "f"), "term")
+    words = (kept.groupBy("topic").agg(F.sum("n").alias("words"))
              .withColumn("_total", F.sum("words").over(Window.partitionBy())))
     avg = F.col("_total") / n_t
     words = words.withColumn("_a", F.floor(avg) if integer_avg else avg).drop("_total")
-    freq = counts.groupBy("term").agg(F.sum("n").alias("f"))
-    a = F.col("_a")
-    out = counts.join(words, "topic").join(freq, "term")
+    out = kept.join(words, "topic")
     tf = (F.col("n") / F.col("words")) if normalize else F.col("n").cast("double")
-    idf = F.log(F.lit(1.0) + a / F.col("f"))
+    idf = F.log(F.lit(1.0) + F.col("_a") / F.col("f"))
     return out.select("topic", "term", "n", tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("score"))
 
 

@@ -24,10 +24,15 @@ def n_topics(spark: SparkSession, sf: str):
     return fx.doc_topic(spark, sf).select(F.countDistinct("topic")).scalar()
 
 
+@reused("topic_term_counts")
+def topic_term_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """(topic, term, n) of the given topic model, written once per query."""
+    return G.topic_term_counts(doc_tokens(spark, sf), fx.doc_topic(spark, sf))
+
+
 @reused("ctfidf")
 def fix_ctfidf(spark: SparkSession, sf: str, max_df: float | None = MAX_DF) -> DataFrame:
-    counts = G.topic_term_counts(doc_tokens(spark, sf), fx.doc_topic(spark, sf))
-    return G.ctfidf(counts, n_topics(spark, sf), max_df=max_df)
+    return G.ctfidf(topic_term_counts(spark, sf), n_topics(spark, sf), max_df=max_df)
 
 
 def fix_top_words(spark: SparkSession, sf: str, n: int = TOP_N) -> DataFrame:

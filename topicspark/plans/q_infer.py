@@ -167,7 +167,7 @@ def q_author_topic_mean(spark, sf):
 
 
 def _phi(spark, sf):
-    counts = G.topic_term_counts(C.doc_tokens(spark, sf), fx.doc_topic(spark, sf))
+    counts = C.topic_term_counts(spark, sf)
     return A.topic_term_phi(counts), counts
 
 

@@ -49,7 +49,7 @@ def corpus_counts(spark, sf):
     return V.term_counts(C.doc_tokens(spark, sf), "docid")
 
 
-@reused("corpus_idf")
+@reused("corpus_idf", write=False)
 def corpus_idf(spark, sf):
     return E.fit_idf(corpus_counts(spark, sf))
 
