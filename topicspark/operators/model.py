@@ -160,15 +160,24 @@ def reduce_2d(emb: DataFrame, unit: str = "docid", vec_col: str = "embedding", k
 
 # --- topic x topic -------------------------------------------------------------------
 
+TERMS_PER_BLOCK = 5000
+
+
 def topic_similarity(scores: DataFrame, blocks: int | None = None) -> DataFrame:
     """A2: cosine similarity of topics over their c-TF-IDF rows, (topic_a, topic_b, similarity).
 
     A distributed sparse product: terms are hashed into ``blocks``; each block's
     topic x term slice is multiplied in one task (NumPy), giving partial K x K
     products that are summed by a groupBy.  No per-term pair lists are built.
+    By default there are enough blocks for about ``TERMS_PER_BLOCK`` terms
+    each, so a block's dense slice stays within MAX_TOPICS x TERMS_PER_BLOCK
+    doubles however large the vocabulary is (one count of distinct terms).
     """
     spark = scores.sparkSession
-    b = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if blocks is None:
+        n_terms = scores.select(F.countDistinct("term")).first()[0] or 0
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_terms // TERMS_PER_BLOCK))
+    b = blocks
     norms = scores.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
     s = scores.select("topic", "term", F.col("score").cast("double").alias("score")).withColumn(
         "block", F.pmod(F.xxhash64("term"), F.lit(b)).cast("int"))
