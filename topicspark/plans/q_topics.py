@@ -39,7 +39,7 @@ from topicspark.operators import sample as X  # noqa: E402
 from topicspark.plans import fixtures as fx  # noqa: E402
 from topicspark.plans import q_model as QM  # noqa: E402
 from topicspark.plans.catalog import with_ctes  # noqa: E402
-from topicspark.session import scratch_path  # noqa: E402
+from topicspark.session import materialize, scratch_path  # noqa: E402
 from topicspark.sources import files as S  # noqa: E402
 
 N_CAND = 30
@@ -191,6 +191,8 @@ def q_struct_flatten(spark, sf):
     (here the label-model aspect, whose labeler is not installed)."""
     asp = L.aspect_fill(aspects_table(spark, sf), C.fix_top_words(spark, sf), fx.doc_topic(spark, sf),
                         ["Main", "KeyBERT", "POS"])
+    # the emptiness check and the final select both read the aspects: write them once
+    asp = materialize(asp, "aspects")
     llm = asp.limit(0).withColumn("aspect", F.lit("LLM"))
     allasp = asp.unionByName(llm)
     names = ["KeyBERT", "LLM", "Main", "POS"]
