@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from topicspark.llm import exact_dedup
+from topicspark.llm import byte_bpe, exact_dedup
 from topicspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,9 @@ FROM n WINDOW w AS (PARTITION BY body)
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact deduplication of all documents by keyed streaming state."""
     return exact_dedup.dedup_report(documents(spark, sf_dir))
+
+
+@query("op2_byte_bpe")
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all documents and the bytes they decode to."""
+    return byte_bpe.round_trip_report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
