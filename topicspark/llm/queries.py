@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from topicspark.llm import byte_bpe, exact_dedup
+from topicspark.llm import byte_bpe, exact_dedup, ngram_join, substring_dedup
 from topicspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,38 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents and the bytes they decode to."""
     return byte_bpe.round_trip_report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op4_substring_dedup", r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM t WHERE len(w) >= 50),
+h AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS body FROM s),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY body) AS first FROM h) WHERE first < doc_id),
+x AS (SELECT t.doc_id, unnest(range(1, len(w) + 1)) AS i FROM t),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM r),
+k AS (SELECT x.doc_id, count(c.i) AS n_removed, string_agg(t.w[x.i], ' ' ORDER BY x.i) FILTER (WHERE c.i IS NULL) AS kept
+      FROM x JOIN t ON t.doc_id = x.doc_id LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY x.doc_id)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON k.doc_id = t.doc_id
+""")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that also start in a document with a smaller id, cut out of all documents."""
+    return substring_dedup.removal_report(documents(spark, sf_dir))
+
+
+@query("op3_ngram_join", r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 2], ' ') END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 90 * (nx.n + ny.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+c AS (SELECT x, least(x, min(y)) AS c FROM r GROUP BY x)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, t.doc_id) AS component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN c ON c.x = t.doc_id
+""")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 3-word shingle similarity of at least 90 percent."""
+    return ngram_join.jaccard_components(documents(spark, sf_dir), 3, 90)
