@@ -190,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the ids of each whole text as little-endian unsigned 32-bit integers."""
     def run(batches):
         table, _ = _worker_tables(path, pattern)
-        for b in bounded(batches, "text"):
+        for b in bounded(batches, "text", 6 << 20):
             ids = list(table.texts(b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
     return texts(docs).mapInArrow(run, "doc_id bigint, ids binary")
@@ -200,7 +200,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded): the bytes that the ids stand for."""
     def run(batches):
         _, tokens = _worker_tables(path, pattern)
-        for b in bounded(batches, "ids"):
+        for b in bounded(batches, "ids", 8 << 20):
             back = [b"".join([tokens[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")

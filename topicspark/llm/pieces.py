@@ -30,7 +30,7 @@ class PieceTable:
     The table is emptied when it holds ``limit`` pieces, which costs time only.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 300_000):
         self.encode, self.limit, self.parts = encode, limit, {}
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
