@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from topicspark.llm.rolling import BASES, Words, extremes, mix, rolling, sliding_min
 
@@ -131,9 +131,9 @@ def dedup_substrings(docs: DataFrame, size: int = 50, gram: int = 25, docs_per_s
         return pa.table({"row": t.column("row"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
                          "removed": pa.array(removed, pa.list_(interval)), "kept": pa.array(kept, pa.string())})
 
-    schema = StructType([StructField("row", fields)])
-    for name, kind in (("n_words", "bigint"), ("n_removed", "bigint"), ("removed", "array<struct<start:int,end:int>>"), ("kept", "string")):
-        schema = schema.add(name, kind)
+    interval = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
+    schema = StructType([StructField("row", fields), StructField("n_words", LongType()), StructField("n_removed", LongType()),
+                         StructField("removed", ArrayType(interval)), StructField("kept", StringType())])
     return sliced.groupBy("slice").cogroup(repeats.groupBy("slice")).applyInArrow(cut, schema)
 
 
