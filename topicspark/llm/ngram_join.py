@@ -39,7 +39,6 @@ from topicspark.llm.components import connected_components
 from topicspark.llm.rolling import BASES, Words, mix, rolling
 from topicspark.session import materialize
 
-SPARE = 2  # fragments beyond the pigeonhole count, so that a few empty ones don't matter
 SALTS = 8
 
 
@@ -51,9 +50,15 @@ def size_classes(top: int = 1 << 40) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def fragment_count(largest: np.ndarray, t: int) -> np.ndarray:
-    """Fragments needed for pairs of sets of at most ``largest`` shingles, t percent alike."""
-    return 2 * largest * (100 - t) // (100 + t) + 1 + SPARE
+def fragment_count(largest: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fragments, spare ones) for pairs of sets of at most ``largest`` shingles, t percent alike.
+
+    Such sets differ in ``apart`` shingles at most, so 1 + spare fragments are
+    equal in both; a set with no more empty fragments than that shares a filled one.
+    """
+    apart = 2 * largest * (100 - t) // (100 + t)
+    spare = 2 + apart // 20
+    return apart + 1 + spare, spare
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +78,7 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], key[new]
 
 
-def _fragments(owner: np.ndarray, key: np.ndarray, n: np.ndarray, group: np.ndarray, pieces: np.ndarray):
+def _fragments(owner: np.ndarray, key: np.ndarray, n: np.ndarray, group: np.ndarray, pieces: np.ndarray, spare: np.ndarray):
     """(text number, signature) of the fragments of each text that takes part (group >= 0)."""
     part = group[owner] >= 0
     owner, key = owner[part], key[part]
@@ -86,7 +91,7 @@ def _fragments(owner: np.ndarray, key: np.ndarray, n: np.ndarray, group: np.ndar
     place = mix(group[who].astype(np.uint64) * np.uint64(1 << 32) + which)
     out_who, out = [who], [mix(total ^ place)]
     filled = np.bincount(who, minlength=len(n))
-    for k in np.flatnonzero((group >= 0) & (n > 0) & (pieces - filled > SPARE)):  # many empty fragments: those count too
+    for k in np.flatnonzero((group >= 0) & (n > 0) & (pieces - filled > spare)):  # many empty fragments: those count too
         empty = np.setdiff1d(np.arange(pieces[k], dtype=np.uint64), which[who == k])
         out_who.append(np.full(len(empty), k))
         out.append(mix(mix(np.uint64(group[k]) * np.uint64(1 << 32) + empty) + np.uint64(1)))
@@ -110,7 +115,7 @@ def document_sets(docs: DataFrame, n: int, t: int) -> DataFrame:
             upper = bounds[group + 1]
             here = np.where(size > 0, group, -1)
             above = np.where((size > 0) & (100 * size >= t * upper), group + 1, -1)
-            parts = [_fragments(owner, key, size, g, fragment_count(bounds[np.maximum(g, 0) + 1] - 1, t)) for g in (here, above)]
+            parts = [_fragments(owner, key, size, g, *fragment_count(bounds[np.maximum(g, 0) + 1] - 1, t)) for g in (here, above)]
             who, sig = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             sig = sig[np.argsort(who, kind="stable")]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=b.num_rows))]).astype(np.int32)

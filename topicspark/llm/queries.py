@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from topicspark.llm import byte_bpe, exact_dedup, ngram_join, substring_dedup
+from topicspark.llm import byte_bpe, exact_dedup, ngram_join, packing, quality, substring_dedup
 from topicspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,21 @@ FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN c ON c.x = t.doc_id
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under 3-word shingle similarity of at least 90 percent."""
     return ngram_join.jaccard_components(documents(spark, sf_dir), 3, 90)
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.packed_report(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels that aren't held out."""
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
