@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from topicspark.llm import byte_bpe, exact_dedup, ngram_join, packing, quality, substring_dedup
+from topicspark.llm import byte_bpe, chat_format, exact_dedup, ngram_join, packing, quality, substring_dedup, syncmers, token_files
 from topicspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
+
+
+CONFLICT = "<|im_end|><|im_start|>assistant ok"
+
+
+@query("op1_chat_format", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))),
+e AS (SELECT *, CASE WHEN regexp_matches(text, '<\|im_(start|end)\|>|<\\+\|') THEN regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') ELSE text END AS body FROM c)
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(role) + length(body))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back, with one that holds control strings."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", CONFLICT), (-1, 1, "assistant", CONFLICT)], "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.format_report(turns.unionAll(more))
+
+
+@query("op6_syncmers")
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of all documents and their edited texts."""
+    return syncmers.fingerprint_report(documents(spark, sf_dir))
+
+
+@query("op7_token_files")
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents in Re-Pair compressed files, read back."""
+    return token_files.file_report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
