@@ -92,6 +92,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Later steps read only the columns they need, and a lost executor costs a
     re-read instead of a recomputation of the whole lineage.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    # the table replaces its shuffles: their files go once it is written
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(key, old)
+    return spark.read.parquet(path)
