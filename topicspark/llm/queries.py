@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from topicspark.llm import byte_bpe, chat_format, exact_dedup, ngram_join, packing, quality, substring_dedup, syncmers, token_files
+from topicspark.llm import byte_bpe, chat_format, class_lm, exact_dedup, ngram_join, packing, quality, substring_dedup, syncmers, token_files
 from topicspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query("op8_class_lm")
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a class-based bigram model of those that aren't held out."""
+    return class_lm.score_report(documents(spark, sf_dir))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
