@@ -119,7 +119,7 @@ class Forest:
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 48, least: int = 15, l2: float = 2.0) -> Forest:
     """Boosted trees for labels 0/1, grown level by level from histograms of binned features."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         logit = 0.0 if not len(y) else (30.0 if share else -30.0)
         one = np.zeros(0, np.int64)
         return Forest(one, one, np.zeros(0), one, np.zeros(0), logit, 0)
