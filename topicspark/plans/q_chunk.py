@@ -1,7 +1,7 @@
 """Registered queries: chunking.
 
 The DuckDB oracle folds the same rules with ``list_reduce``; the pytest suite
-also checks the Spark fold against a direct Python loop of the reference rules.
+checks the Spark fold on spans worked out by hand and on the rules' invariants.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from topicspark.plans.catalog import query, with_ctes
 from topicspark.plans.q_text import _sql_is_kata
 from topicspark.sources.tables import table
 
-FAST = CH.ChunkSettings(chunksize=100, min_chunksize=20, chunks=50)        # "fast" presets
-FULL = CH.ChunkSettings(chunksize=250, min_chunksize=100, chunks=0)        # "full data" presets
-LIMIT = CH.ChunkSettings(chunksize=100, min_chunksize=1, chunks=3)
-JA_FAST = CH.ChunkSettings(chunksize=100, min_chunksize=20, chunks=50, language="Japanese")
+FAST = CH.ChunkSettings(chunksize=100)
+FULL = CH.ChunkSettings(chunksize=250)
+MINIMUM = CH.ChunkSettings(chunksize=250, min_chunksize=100)   # only the minimum filter drops chunks
+LIMIT = CH.ChunkSettings(chunksize=100, chunks=3)              # only the chunk limit stops early
+JA_FAST = CH.ChunkSettings(chunksize=100, language="Japanese")
 SENTENCE_CHUNK = 200
 
 
@@ -44,7 +45,7 @@ def sql_pack(counts: str, c: int, chunks: int) -> str:
     fold = f"""list_reduce({counts}, lambda acc, n: CASE
     WHEN {stop} THEN acc
     WHEN n >= {c} THEN {{'off': acc.off + n, 'ps': acc.off + ({k} - 1) * {c},
-        'pl': CASE WHEN n - ({k} - 1) * {c} < {c} THEN n - ({k} - 1) * {c} ELSE 0 END,
+        'pl': n - ({k} - 1) * {c},
         'nc': acc.nc + CASE WHEN acc.pl > 0 THEN 1 ELSE 0 END + {k} - 1,
         'out': list_concat(acc.out, CASE WHEN acc.pl > 0 THEN [{st % ('acc.ps', 'acc.pl')}] ELSE [] END,
                            list_transform(range(0, {k} - 1), lambda j: {st % (f'acc.off + j * {c}', str(c))}))}}
@@ -100,7 +101,7 @@ SQL_OUT = "SELECT docid, filename, label, chunk_ix, n_tokens, length, md5(text)
 
 @query("chunk_paragraphs", with_ctes(sql_chunks(FAST)) + "\n" + SQL_OUT)
 def q_chunk_paragraphs(spark, sf):
-    """Paragraph packing of every document (chunksize 100, min 20, at most 50 chunks)."""
+    """Paragraph packing of every document into chunks of at most 100 tokens."""
     return _out(_chunks(spark, sf, FAST))
 
 
@@ -110,10 +111,10 @@ def q_chunk_limit(spark, sf):
     return _out(_chunks(spark, sf, LIMIT))
 
 
-@query("chunk_min_filter", with_ctes(sql_chunks(FULL)) + "\n" + SQL_OUT)
+@query("chunk_min_filter", with_ctes(sql_chunks(MINIMUM)) + "\n" + SQL_OUT)
 def q_chunk_min_filter(spark, sf):
     """Chunks of 250 tokens, those under 100 tokens dropped."""
-    return _out(_chunks(spark, sf, FULL))
+    return _out(_chunks(spark, sf, MINIMUM))
 
 
 @query("chunk_paragraphs_ja", with_ctes(sql_chunks(JA_FAST, japanese=True)) + "\n" + SQL_OUT)
@@ -136,13 +137,14 @@ def q_chunk_length(spark, sf):
 
 
 @query("validate_chunking", with_ctes(sql_chunks(FAST)) + """
-SELECT CAST(count(*) AS BIGINT) AS n_chunks, count(*) > 0 AS produced, 100 > 20 AS settings_valid FROM chunks""")
+SELECT CAST(count(*) AS BIGINT) AS n_chunks, count(*) > 0 AS produced, CAST(count(DISTINCT filename) AS BIGINT) AS n_files,
+       CAST(max(n_tokens) AS INTEGER) AS longest FROM chunks""")
 def q_validate_chunking(spark, sf):
-    """Settings check (min < max) and the non-empty result check, as one row."""
+    """The settings are checked (min < max), then the result: chunks, files with chunks, longest chunk."""
     CH.validate_chunking(FAST.chunksize, FAST.min_chunksize)
     ch = _chunks(spark, sf, FAST)
-    return ch.agg(F.count(F.lit(1)).alias("n_chunks")).select(
-        "n_chunks", (F.col("n_chunks") > 0).alias("produced"), F.lit(True).alias("settings_valid"))
+    return ch.agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("filename").alias("n_files"), F.max("n_tokens").alias("longest")).select(
+        "n_chunks", (F.col("n_chunks") > 0).alias("produced"), "n_files", "longest")
 
 
 def _sql_sentence_chunks(c: int) -> str:
@@ -152,11 +154,12 @@ def _sql_sentence_chunks(c: int) -> str:
     fold = f"""list_reduce(counts, lambda acc, n: CASE WHEN acc.pl + n >= {c}
         THEN {{'off': acc.off + n, 'ps': acc.off + n, 'pl': CAST(0 AS BIGINT), 'out': list_append(acc.out, {{'s': acc.ps, 'l': acc.pl + n}})}}
         ELSE {{'off': acc.off + n, 'ps': acc.ps, 'pl': acc.pl + n, 'out': acc.out}} END,
-      {{'off': CAST(0 AS BIGINT), 'ps': CAST(0 AS BIGINT), 'pl': CAST(0 AS BIGINT), 'out': CAST([] AS STRUCT(s BIGINT, l BIGINT)[])}}).out"""
+      {{'off': CAST(0 AS BIGINT), 'ps': CAST(0 AS BIGINT), 'pl': CAST(0 AS BIGINT), 'out': CAST([] AS STRUCT(s BIGINT, l BIGINT)[])}})"""
     return f"""d AS (SELECT 'doc' || CAST(doc_id AS VARCHAR) AS stem, 'doc' || CAST(doc_id AS VARCHAR) || '.txt' AS filename,
                   list_transform({sents}, lambda s: {tagged}) AS st FROM documents),
 fl AS (SELECT stem, filename, flatten(st) AS flat, list_transform(st, lambda a: CAST(len(a) AS BIGINT)) AS counts FROM d),
-sp AS (SELECT stem, filename, flat, {fold} AS spans FROM fl),
+fo AS (SELECT stem, filename, flat, {fold} AS f FROM fl),
+sp AS (SELECT stem, filename, flat, list_concat(f.out, CASE WHEN f.pl > 0 THEN [{{'s': f.ps, 'l': f.pl}}] ELSE [] END) AS spans FROM fo),
 ch AS (SELECT stem, filename, flat, unnest(spans) AS sp, generate_subscripts(spans, 1) - 1 AS chunk_ix FROM sp),
 v AS (SELECT filename, stem || '_' || CAST(chunk_ix AS VARCHAR) AS label, CAST(chunk_ix AS INTEGER) AS chunk_ix,
              list_transform(flat[sp.s + 1:sp.s + sp.l], lambda t: CASE WHEN t.pos2 = '固有名詞' THEN '' ELSE coalesce(nullif(t.lemma, ''), t.orth) END) AS lemmas,
@@ -166,7 +169,7 @@ v AS (SELECT filename, stem || '_' || CAST(chunk_ix AS VARCHAR) AS label, CAST(c
 @query("chunk_sentences", with_ctes(_sql_sentence_chunks(SENTENCE_CHUNK)) + """
 SELECT filename, label, chunk_ix, CAST(len(lemmas) AS INTEGER) AS length, md5(array_to_string(surfaces, '|')) AS surfaces_md5 FROM v""")
 def q_chunk_sentences(spark, sf):
-    """Whole sentences of tagged tokens until a chunk has >= 200 tokens; the rest dropped."""
+    """Whole sentences of tagged tokens until a chunk has >= 200 tokens; the rest is the last chunk."""
     ch = CH.chunk_sentences(_docs(spark, sf, japanese=True), SENTENCE_CHUNK)
     return ch.select("filename", "label", "chunk_ix", "length", F.md5(F.array_join("surfaces", "|")).alias("surfaces_md5"))
 
