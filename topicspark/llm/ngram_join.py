@@ -14,9 +14,10 @@ only one document of a class takes part in the join:
 3. *Candidates.*  Sets that can reach t share one of their rarest shingles
    (prefix filter).  Each shingle's members are first held against one of
    them (in two rounds with different choices); linked documents form
-   components, and then all members of *different* components that share a
-   prefix shingle are compared.  So a large group of copies costs its size,
-   and no link between components is lost.
+   components, and then members of *different* components that share a
+   prefix shingle are compared, if their longer prefixes share enough.  So a
+   large group of linked copies costs its size, and no link between
+   components is lost.
 4. *Verification.*  Partial overlaps are counted per vertical fragment and
    summed per pair.
 
@@ -40,6 +41,7 @@ from topicspark.llm.rolling import BASES, Words, mix, rolling
 from topicspark.session import materialize
 
 SALTS = 8
+LONGER = 12  # shingles that the longer prefixes of two linked sets have in common
 
 
 def size_classes(top: int = 1 << 40) -> np.ndarray:
@@ -153,8 +155,10 @@ def _overlaps(pairs: DataFrame, vectors: DataFrame, t: int) -> DataFrame:
     return summed.filter(F.lit(100) * F.col("both") >= F.lit(t) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _alike_sizes(t: int):
-    return F.lit(100) * F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb")
+def _can_reach(t: int):
+    """Sizes alike enough, and enough shingles (sa, sb) that other sets also have."""
+    sizes = F.lit(100) * F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb")
+    return sizes & (F.lit(100 + t) * F.least("sa", "sb") >= F.lit(t) * (F.col("na") + F.col("nb")))
 
 
 def jaccard_links(docs: DataFrame, n: int = 3, t: int = 90, pieces: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -186,14 +190,15 @@ def jaccard_links(docs: DataFrame, n: int = 3, t: int = 90, pieces: int = 4) ->
     vectors = materialize(flat.groupBy("cid", piece.alias("piece")).agg(F.collect_list("k.key").alias("keys")), "vertical-fragments")
 
     # 3: the prefix in the global order; unshared shingles come first in it and are left out here
-    prefix = F.col("n") - F.ceil(F.col("n") * t / 100) + 1 - (F.col("n") - F.size("keys"))
-    heads = common.filter(prefix > 0).select("cid", "n", F.explode(F.slice("keys", F.lit(1), prefix.cast("int"))).alias("k"))
-    heads = materialize(heads.select("cid", "n", F.col("k.key").alias("key")), "prefixes")
+    prefix = (F.size("keys") - F.ceil(F.col("n") * t / 100) + 1).cast("int")
+    ahead = F.slice("keys", F.lit(1), prefix + LONGER - 1)
+    heads = common.filter(prefix > 0).select("cid", "n", F.size("keys").alias("s"), ahead.alias("ahead"), F.explode(F.slice("keys", F.lit(1), prefix)).alias("k"))
+    heads = materialize(heads.select("cid", "n", "s", F.col("ahead.key").alias("ahead"), F.col("k.key").alias("key")), "prefixes")
     links = None
     for turn in (0, 1):
-        order = F.struct(F.xxhash64("cid", F.lit(turn)), F.col("cid").alias("a"), F.col("n").alias("na"))
-        hub = heads.groupBy("key").agg(F.min(order).alias("hub"), F.count("*").alias("held")).filter("held > 1").select("key", "hub.a", "hub.na")
-        pairs = heads.select(F.col("cid").alias("b"), F.col("n").alias("nb"), "key").join(hub, "key").filter(F.col("a") != F.col("b")).filter(_alike_sizes(t))
+        order = F.struct(F.xxhash64("cid", F.lit(turn)), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+        hub = heads.groupBy("key").agg(F.min(order).alias("hub"), F.count("*").alias("held")).filter("held > 1").select("key", "hub.a", "hub.na", "hub.sa")
+        pairs = heads.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), "key").join(hub, "key").filter(F.col("a") != F.col("b")).filter(_can_reach(t))
         found = materialize(_overlaps(pairs.select("a", "b", "na", "nb").distinct(), vectors, t), "links")
         links = found if links is None else links.unionAll(found)
     parts = materialize(connected_components(links), "components")
@@ -202,9 +207,12 @@ def jaccard_links(docs: DataFrame, n: int = 3, t: int = 90, pieces: int = 4) ->
     placed = heads.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     placed = materialize(placed.join(apart, "key"), "apart")
-    one = placed.select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = placed.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = one.join(two, "key").filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))).filter(_alike_sizes(t))
+    one, two = (placed.select("key", *[F.col(c).alias(d + x) for c, d in (("cid", ""), ("n", "n"), ("s", "s"), ("root", "r"), ("ahead", "h"))]) for x in "ab")
+    # sets that can reach t share LONGER shingles (or all they need) of prefixes that much longer; a pair is taken at its first common one
+    met = F.array_intersect("ha", "hb")
+    needed = F.least(F.lit(LONGER), F.ceil(F.greatest("na", "nb") * t / 100).cast("int"))
+    close = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & _can_reach(t) & (F.size(met) >= needed) & (F.element_at(met, 1) == F.col("ka"))
+    rest = one.withColumnRenamed("key", "ka").join(two.withColumnRenamed("key", "kb"), (F.col("ka") == F.col("kb")) & close)
     links = links.unionAll(_overlaps(rest.select("a", "b", "na", "nb").distinct(), vectors, t))
     return sets.select("doc_id", "n_shingles", "cid", "sig"), connected_components(links).withColumnRenamed("node", "cid").withColumnRenamed("root", "component")
 
