@@ -1,6 +1,5 @@
 """Saved runs, fingerprints and the streaming assignment."""
 
-from pyspark.sql import functions as F
 
 from topicspark.sources import runs as R
 

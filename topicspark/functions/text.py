@@ -243,11 +243,6 @@ def strip_think_tags(text) -> Column:
     return F.trim(F.regexp_replace(_c(text), THINK_TAG, ""))
 
 
-def chunk_length_chars(text) -> Column:
-    """T21 (embedding path): characters of the chunk."""
-    return F.length(_c(text))
-
-
 def split_fixed(arr, n: int) -> Column:
     """Cut an array into n-sized pieces (last may be shorter)."""
     a = _c(arr)

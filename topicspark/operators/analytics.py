@@ -24,8 +24,9 @@ def topics_per_class(tokens: DataFrame, doc_topic: DataFrame, classes: DataFrame
     dc = doc_topic.join(classes, "docid")
     freq = dc.groupBy(class_col, "topic").agg(F.count(F.lit(1)).alias("frequency"))
     per_class = dc.groupBy(class_col).agg(F.count(F.lit(1)).alias("_ndocs"))
+    # counted before the join: a frequent term meets its idf once per (class, topic), not once per token
     counts = (tokens.join(dc, "docid").select(class_col, "topic", F.explode("tokens").alias("term"))
-              .join(idf, "term").groupBy(class_col, "topic", "term", "_idf").agg(F.count(F.lit(1)).alias("n")))
+              .groupBy(class_col, "topic", "term").agg(F.count(F.lit(1)).alias("n")).join(idf, "term"))
     tot = counts.groupBy(class_col, "topic").agg(F.sum("n").alias("_w"))
     sc = counts.join(tot, [class_col, "topic"]).select(class_col, "topic", "term",
                                                         (F.col("n") / F.col("_w") * F.col("_idf")).alias("score"))
@@ -85,20 +86,19 @@ def ldavis_saliency(phi: DataFrame, prevalence: DataFrame) -> DataFrame:
 def token_topics(token_pos: DataFrame, phi: DataFrame, doc_topics: DataFrame | None) -> DataFrame:
     """Best topic (by phi, ties by topic) of every token position; with ``doc_topics``
     (docid, topic) only topics inferred for that document count (assigned_only); tokens
-    without a candidate keep a NULL topic."""
+    without a candidate keep a NULL topic.
+
+    The best topic is found once per (document, distinct term), against one
+    array per term of its topics, best first (as long as there are topics).
+    """
+    ranked = phi.groupBy("term").agg(F.sort_array(F.collect_list(F.struct((-F.col("phi")).alias("o"), "topic"))).alias("_topics"))
+    terms = token_pos.select("docid", "term").distinct().join(ranked, "term")
+    candidates = F.col("_topics")
     if doc_topics is not None:
-        scored = token_pos.join(doc_topics, "docid").join(phi, ["topic", "term"])
-    else:
-        scored = token_pos.join(phi, "term")
-    best = scored.groupBy("docid", "pos").agg(F.min_by("topic", F.struct(-F.col("phi"), F.col("topic"))).alias("best_topic"))
-    return token_pos.join(best, ["docid", "pos"], "left")
-
-
-def window_ids(tokens_col: str, size: int, stride: int = 1):
-    """Window starts 0, stride, ... while start <= max(0, m - size)."""
-    m = F.size(tokens_col)
-    last = F.greatest(m - size, F.lit(0))
-    return F.sequence(F.lit(0), last, F.lit(stride))
+        terms = terms.join(doc_topics.groupBy("docid").agg(F.collect_set("topic").alias("_own")), "docid")
+        candidates = F.filter("_topics", lambda x: F.array_contains("_own", x["topic"]))
+    best = terms.select("docid", "term", F.get(candidates, F.lit(0))["topic"].alias("best_topic"))
+    return token_pos.join(best, ["docid", "term"], "left")
 
 
 def window_topic_similarity(tokens: DataFrame, scores: DataFrame, unit_cols, size: int = 4, stride: int = 1,

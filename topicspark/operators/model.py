@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_TOPICS = 2000
 
@@ -287,8 +286,3 @@ def intertopic_map(cent_long: DataFrame, sizes: DataFrame, dims: int) -> DataFra
     vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
     xy = reduce_2d(per.select("topic", vec.alias("embedding")), unit="topic")
     return xy.join(sizes, "topic")
-
-
-# helpers used by the tests ------------------------------------------------------------
-SCHEMA_PROBS = T.StructType([T.StructField("docid", T.LongType()), T.StructField("topic", T.IntegerType()),
-                             T.StructField("prob", T.DoubleType())])

@@ -75,11 +75,17 @@ def sample_per_topic(doc_topic: DataFrame, fraction: float, seed: int = 0) -> Da
     """Per topic a sample of max(1, floor(n * fraction)) documents without replacement.
 
     ``fraction`` is clipped to [0, 1].  The order is the md5 key, so the sample
-    is a fixed-size uniform draw (not a Bernoulli one).
+    is a fixed-size uniform draw (not a Bernoulli one).  A topic's documents
+    are ranked inside 4,096 bins of the key and the bins' counts are summed, so
+    a topic of any size is spread over as many tasks as its bins.
     """
     f = min(max(float(fraction), 0.0), 1.0)
-    sizes = doc_topic.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))
-    j = doc_topic.join(sizes, "topic").withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(f))).cast("bigint"))
-    j = j.withColumn("_u", uniform_key(seed))
-    w = Window.partitionBy("topic").orderBy("_u", "docid")
-    return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_k")).drop("_r", "_u", "_k", "_n")
+    j = doc_topic.withColumn("_u", uniform_key(seed)).withColumn("_bin", F.floor(F.col("_u") * 4096).cast("int"))
+    bins = j.groupBy("topic", "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy("topic")
+    before = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_k", F.greatest(F.lit(1), F.floor(F.sum("_c").over(whole) * F.lit(f))).cast("bigint"))
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).where(F.col("_before") < F.col("_k"))
+    j = j.join(bins.select("topic", "_bin", "_k", "_before"), ["topic", "_bin"])
+    r = F.row_number().over(Window.partitionBy("topic", "_bin").orderBy("_u", "docid"))
+    return j.withColumn("_r", r).where(F.col("_before") + F.col("_r") <= F.col("_k")).select(*doc_topic.columns)

@@ -55,13 +55,15 @@ def vectorize_fixed_vocab(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def dictionary_extremes(docs_terms: DataFrame, unit_col: str = "docid", no_below: int = 5,
-                        no_above: float = 0.5, keep_n: int | None = None) -> DataFrame:
+                        no_above: float = 0.5, keep_n: int | None = None, n_units=None) -> DataFrame:
     """V3: terms in at least ``no_below`` units and at most ``no_above`` of all units.
 
-    ``docs_terms`` is (unit, term, n).  Optionally keep the ``keep_n`` most
+    ``docs_terms`` is (unit, term, n); ``n_units`` the count of units, where
+    some have no term (else they are counted from the table).  Optionally keep the ``keep_n`` most
     frequent (by df, then term).  Returns (term, df).
     """
-    n_units = docs_terms.select(F.countDistinct(unit_col)).scalar()
+    if n_units is None:
+        n_units = docs_terms.select(F.countDistinct(unit_col)).scalar()
     df = docs_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = df.where((F.col("df") >= no_below) & (F.col("df") <= n_units * F.lit(float(no_above))))
     if keep_n is not None:
@@ -78,9 +80,8 @@ def vocab_index(vocab: DataFrame) -> DataFrame:
 
 def doc2bow(tokens_long: DataFrame, vocab_ids: DataFrame, unit_col: str = "docid") -> DataFrame:
     """V4: (unit, term_id, n) for in-vocabulary tokens; '' is never a term."""
-    t = tokens_long.where(F.col("term") != F.lit(""))
-    return (t.join(vocab_ids.select("term", "term_id"), "term")
-            .groupBy(unit_col, "term_id").agg(F.count(F.lit(1)).alias("n")))
+    counts = tokens_long.where(F.col("term") != F.lit("")).groupBy(unit_col, "term").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(vocab_ids.select("term", "term_id"), "term").select(unit_col, "term_id", "n")
 
 
 def validate_vectorizer(token_arrays: DataFrame, tokens_col: str = "tokens") -> DataFrame:

@@ -14,7 +14,7 @@ MAX_DF = 0.9       # topic-level max_df of the presets
 TOP_N = 10         # words per topic
 
 
-@reused("doc_tokens")
+@reused("doc_tokens", write=False)
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """(docid, tokens) with the default analytical tokenizer."""
     return fx.corpus(spark, sf).select("docid", T.tokenize_word("text").alias("tokens"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from topicspark.functions import text as T
 from topicspark.operators import analytics as A
-from topicspark.operators import ctfidf as G
 from topicspark.operators import encode as E
 from topicspark.operators import labels as L
 from topicspark.operators import metadata as M
@@ -209,7 +208,7 @@ def q_ldavis_saliency(spark, sf):
 @query("token_topics", QM.sql_model_ctes(C.SQL_TOKS.replace("toks AS", "toks0 AS"), SQL_PHI.replace("FROM toks t", "FROM toks0 t")) + r""",
 tp AS (SELECT docid, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (
          SELECT docid, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM corpus)),
-inferred AS (SELECT docid, topic FROM probs WHERE prob >= 0.01),
+inferred AS (SELECT docid, topic FROM probs WHERE prob > 0),
 best AS (SELECT tp.docid, tp.pos, arg_min(phi.topic, (-phi.phi, phi.topic)) AS best_topic
          FROM tp JOIN inferred USING (docid) JOIN phi ON phi.topic = inferred.topic AND phi.term = tp.term GROUP BY 1, 2)
 SELECT tp.docid, CAST(tp.pos AS INTEGER) AS pos, tp.term, best.best_topic FROM tp LEFT JOIN best USING (docid, pos)""")
@@ -217,7 +216,7 @@ def q_token_topics(spark, sf):
     """Topic of every token of every document (best phi among the document's inferred topics)."""
     phi, _ = _phi(spark, sf)
     tp = C.doc_tokens(spark, sf).select("docid", F.posexplode("tokens").alias("pos", "term"))
-    inferred = QM.given_probs(spark, sf).where(F.col("prob") >= 0.01).select("docid", "topic")
+    inferred = QM.given_probs(spark, sf).where(F.col("prob") > 0).select("docid", "topic")
     return A.token_topics(tp, phi, inferred).select("docid", F.col("pos").cast("int"), "term", "best_topic")
 
 

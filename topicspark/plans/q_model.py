@@ -49,7 +49,7 @@ def corpus_counts(spark, sf):
     return V.term_counts(C.doc_tokens(spark, sf), "docid")
 
 
-@reused("corpus_idf", write=False)
+@reused("corpus_idf")
 def corpus_idf(spark, sf):
     return E.fit_idf(corpus_counts(spark, sf))
 
@@ -183,8 +183,14 @@ csims AS (SELECT c.conv_id, c.turn, t.topic,
           FROM cvec c, tv t)"""
 
 
+@reused("topic_centroids_e1")
+def topic_centroids_e1(spark, sf):
+    """Topic vectors in the encoder's space, written once: batches and streams only read them."""
+    return K.topic_centroids(doc_vectors(spark, sf), fx.doc_topic(spark, sf))
+
+
 def _topic_vectors_e1(spark, sf):
-    return K.centroid_array(K.topic_centroids(doc_vectors(spark, sf), fx.doc_topic(spark, sf)), DIMS)
+    return K.centroid_array(topic_centroids_e1(spark, sf), DIMS)
 
 
 def _conv_vectors(spark, sf):

@@ -99,6 +99,13 @@ def q_distinct_sorted(spark, sf):
     return M.distinct_sorted(fx.corpus(spark, sf), "author")
 
 
+@query("works_of_author", with_ctes(fx.SQL_CORPUS) + "\nSELECT DISTINCT title FROM corpus WHERE author = (SELECT min(author) FROM corpus)")
+def q_works_of_author(spark, sf):
+    """Sorted works of the first author."""
+    d = fx.corpus(spark, sf)
+    return M.works_of_author(d, d.select(F.min("author")).first()[0])
+
+
 @query("work_doc_range", _sql_chunks_with_author() + """
 SELECT title, min(docid) AS first_docid, max(docid) AS last_docid, count(*) AS n_chunks FROM cwa GROUP BY title""")
 def q_work_doc_range(spark, sf):
@@ -203,13 +210,13 @@ def q_case_remap(spark, sf):
 
 @query("map_lookup", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_TOP5) + """,
 labels AS (SELECT topic, CAST(topic AS VARCHAR) || ': ' || string_agg(term, '_' ORDER BY rank) AS label
-           FROM topw WHERE rank <= 3 AND topic IN (SELECT topic FROM top5) GROUP BY topic)
+           FROM topw WHERE rank <= 3 AND topic <> -1 GROUP BY topic)
 SELECT d.docid, d.topic, coalesce(l.label, CASE WHEN d.topic = -1 THEN 'Other' ELSE 'Unknown' END) AS label
 FROM doc_topic d LEFT JOIN labels l USING (topic)""")
 def q_map_lookup(spark, sf):
-    """Label of every document's topic; labels exist for the 5 largest topics only."""
+    """Label of every document's topic; outliers are 'Other'."""
     from topicspark.operators import labels as L
-    lab = L.generate_labels(C.fix_top_words(spark, sf)).join(_top5(spark, sf), "topic", "left_semi")
+    lab = L.generate_labels(C.fix_top_words(spark, sf)).where(F.col("topic") != -1)
     return M.map_lookup(fx.doc_topic(spark, sf), lab).select("docid", "topic", "label")
 
 

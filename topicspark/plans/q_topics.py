@@ -30,7 +30,6 @@ def q_topic_top_words(spark, sf):
 import pandas as pd  # noqa: E402
 
 from topicspark.functions import tagging as TG  # noqa: E402
-from topicspark.functions import text as T  # noqa: E402
 from topicspark.operators import ctfidf as G  # noqa: E402
 from topicspark.operators import encode as E  # noqa: E402
 from topicspark.operators import labels as L  # noqa: E402
@@ -38,7 +37,6 @@ from topicspark.operators import model as K  # noqa: E402
 from topicspark.operators import sample as X  # noqa: E402
 from topicspark.plans import fixtures as fx  # noqa: E402
 from topicspark.plans import q_model as QM  # noqa: E402
-from topicspark.plans.catalog import with_ctes  # noqa: E402
 from topicspark.session import materialize, scratch_path  # noqa: E402
 from topicspark.sources import files as S  # noqa: E402
 

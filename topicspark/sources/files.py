@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,12 +73,8 @@ def import_labels(spark: SparkSession, path: str, current: DataFrame) -> DataFra
     missing = {"topic_id", "custom_label"} - set(raw.columns)
     if missing:
         raise ValueError(f"labels file must have columns topic_id and custom_label; missing {sorted(missing)}")
-    new = (raw.select(F.col("topic_id").cast("int").alias("topic"), F.col("custom_label").alias("_new"))
+    new = (raw.select(F.col("topic_id").try_cast("int").alias("topic"), F.col("custom_label").alias("_new"))
            .where(F.col("topic").isNotNull())
            .groupBy("topic").agg(F.max_by("_new", F.col("_new")).alias("_new")))
     return (current.join(new, "topic", "left")
             .withColumn("custom_label", F.coalesce(F.nullif(F.col("_new"), F.lit("")), F.col("label"))).drop("_new"))
-
-
-def scratch_dir_exists(path: str) -> bool:
-    return os.path.exists(path)

@@ -1,7 +1,7 @@
 """Saved runs (S6, S7) and fingerprints.
 
-A run is a folder of Parquet tables plus ``manifest`` (one JSON row) written
-last; a run without a manifest is unfinished and is never loaded.  Paths go
+A run is a fresh folder of Parquet tables plus ``manifest`` (one JSON row) that
+names it and is written last; a run without a manifest is unfinished and is never loaded.  Paths go
 through Spark's file system layer, so a run can live on any shared store.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,15 +50,19 @@ def model_fingerprint(scores: DataFrame, doc_topic: DataFrame, ngram_range=(1, 1
 
 
 def save_run(spark: SparkSession, path: str, tables: dict[str, DataFrame], settings: dict, fingerprint: str) -> dict:
-    """Every table as Parquet under ``path``, then the manifest (last)."""
-    counts = {}
+    """Every table as Parquet in a fresh folder under ``path``, then the manifest that names it (last).
+
+    Saving over a run never touches the tables that its manifest names, so a
+    reader gets the old run, or (while the manifest is replaced) none, or the new one.
+    """
+    counts, folder = {}, f"tables-{uuid.uuid4().hex[:12]}"
     for name, df in tables.items():
         if df is None:
             continue
-        out = os.path.join(path, name)
+        out = os.path.join(path, folder, name)
         df.write.mode("overwrite").parquet(out)
         counts[name] = spark.read.parquet(out).count()
-    manifest = {"fingerprint": fingerprint, "settings": settings, "tables": counts}
+    manifest = {"fingerprint": fingerprint, "settings": settings, "folder": folder, "tables": counts}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True, default=str),)], "value string") \
         .coalesce(1).write.mode("overwrite").text(os.path.join(path, "manifest"))
     return manifest
@@ -80,5 +85,5 @@ def load_run(spark: SparkSession, path: str, fingerprint: str | None = None) ->
         return None
     out: dict[str, DataFrame | None] = {}
     for name in set(m["tables"]) | set(OPTIONAL):
-        out[name] = spark.read.parquet(os.path.join(path, name)) if name in m["tables"] else None
+        out[name] = spark.read.parquet(os.path.join(path, m["folder"], name)) if name in m["tables"] else None
     return out

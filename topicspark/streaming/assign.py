@@ -33,11 +33,13 @@ def assign_batch(batch: DataFrame, idf: DataFrame, cents, unit_cols, threshold:
 
 def start_assignment_stream(spark: SparkSession, source: str, schema, out_dir: str, checkpoint: str,
                             idf: DataFrame, cents, unit_cols, fmt: str = "parquet",
-                            max_files_per_trigger: int = 1, available_now: bool = True):
+                            max_files_per_trigger: int | None = None, available_now: bool = True):
     """Start the stream; returns the StreamingQuery."""
     units = list(unit_cols)
-    stream = (spark.readStream.format(fmt).schema(schema)
-              .option("maxFilesPerTrigger", max_files_per_trigger).load(source))
+    reader = spark.readStream.format(fmt).schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.load(source)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         out = assign_batch(batch, idf, cents, units)
