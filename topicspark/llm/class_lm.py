@@ -147,12 +147,25 @@ def unit_pairs(docs: DataFrame, units: Units) -> DataFrame:
     return docs.select("text").mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _chunks(batches, rows: int = 1 << 19):
+    """The columns a, b, n of many batches, about ``rows`` rows at a time."""
+    held, size = [], 0
+    for b in batches:
+        held.append([b.column(c).to_numpy() for c in ("a", "b", "n")])
+        size += b.num_rows
+        if size >= rows:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def class_table(pairs: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
     """Counts of neighbouring classes."""
     def run(batches):
         total = np.zeros(classes * classes)
-        for b in batches:
-            total += np.bincount(of[b.column("a").to_numpy()] * classes + of[b.column("b").to_numpy()], weights=b.column("n").to_numpy(), minlength=len(total))
+        for x, y, n in _chunks(batches):
+            total += np.bincount(of[x] * classes + of[y], weights=n, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
     out = np.zeros(classes * classes)
@@ -194,7 +207,7 @@ def best_classes(own: np.ndarray, out: np.ndarray, into: np.ndarray, loop: np.nd
     return best
 
 
-def exchange(pairs: DataFrame, units: Units, classes: int, passes: int = 4, parts: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def exchange(pairs: DataFrame, units: Units, classes: int, passes: int = 3, parts: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(class of each unit, table of class bigrams): ``passes`` times through all units, a part of them at a time."""
     size = len(units.counts)
     of = np.arange(size) % classes
@@ -205,17 +218,17 @@ def exchange(pairs: DataFrame, units: Units, classes: int, passes: int = 4, part
         chosen[0] = False
 
         def rows(batches, of=of, chosen=chosen):
-            for b in batches:
-                x, y, n = (b.column(c).to_numpy() for c in ("a", "b", "n"))
+            cells = 2 * classes + 1
+            total = np.zeros(size * cells)  # one row of neighbour classes a unit: bounded by head and classes
+            for x, y, n in _chunks(batches):
                 same = x == y
-                unit, cell = [], []
-                for who, other, shift in ((x, y, 0), (y, x, classes)):
-                    unit.append(who), cell.append(np.where(same, 2 * classes, of[other] + shift))
-                keep = np.concatenate([chosen[x], chosen[y] & ~same])
-                key = (np.concatenate(unit).astype(np.int64) * (2 * classes + 1) + np.concatenate(cell))[keep]
-                key, number = np.unique(key, return_inverse=True)
-                total = np.bincount(number, weights=np.concatenate([n, n])[keep], minlength=len(key))
-                yield pa.RecordBatch.from_arrays([pa.array(key // (2 * classes + 1), pa.int64()), pa.array((key % (2 * classes + 1)).astype(np.int32)), pa.array(total)], ["unit", "cell", "n"])
+                for who, other, shift, keep in ((x, y, 0, chosen[x]), (y, x, classes, chosen[y] & ~same)):
+                    cell = np.where(same, 2 * classes, of[other] + shift)
+                    total += np.bincount((who.astype(np.int64) * cells + cell)[keep], weights=n[keep], minlength=len(total))
+            at = np.flatnonzero(total)
+            for k in range(0, len(at), 1 << 18):
+                some = at[k:k + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(some // cells), pa.array((some % cells).astype(np.int32)), pa.array(total[some])], ["unit", "cell", "n"])
 
         def choose(batches, of=of, table=table):
             got = [(b.column("unit").to_numpy(), b.column("cell").to_numpy(), b.column("n").to_numpy()) for b in batches]  # at most units x cells
@@ -273,7 +286,7 @@ class Model:
         return words.counts + 1, known, add(np.log10(plain)), add(np.log10(model)), tail, words
 
 
-def train(docs: DataFrame, head: int = 20_000, classes: int = 48, mix: float = 0.95, passes: int = 4) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, head: int = 20_000, classes: int = 48, mix: float = 0.95, passes: int = 3) -> tuple[Model, DataFrame]:
     """(model, counts of all words) from all rows of ``docs``."""
     counts = materialize(word_counts(docs), "word-counts")
     total = counts.agg(F.sum("n"), F.count("*")).first()
