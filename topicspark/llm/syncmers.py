@@ -81,10 +81,11 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     The edited text has the last third of its code points replaced by the
     first as many (or all) of the next document's.
     """
-    whole = texts(docs).withColumn("key", F.xxhash64("doc_id", "text")).dropDuplicates(["key"])
+    # read twice with the same columns (one struct), so that texts are shuffled by key once and both joins use that
+    whole = texts(docs).select(F.xxhash64("doc_id", "text").alias("key"), F.struct("doc_id", "text").alias("doc")).dropDuplicates(["key"])
     follow = neighbours(texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("key")).dropDuplicates(["key"]))
-    given = whole.select(F.col("key").alias("next_key"), F.col("text").alias("next_text")).join(follow.select(F.col("key").alias("owner"), "next_key"), "next_key")
-    both = whole.join(given.select(F.col("owner").alias("key"), "next_text"), "key")
+    given = whole.select(F.col("key").alias("next_key"), F.col("doc.text").alias("next_text")).join(follow.select(F.col("key").alias("owner"), "next_key"), "next_key")
+    both = whole.join(given.select(F.col("owner").alias("key"), "next_text"), "key").select("doc.doc_id", "doc.text", "next_text")
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     both = both.select("doc_id", "text", "next_text", n.cast("bigint").alias("n_chars"),
