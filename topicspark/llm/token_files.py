@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from topicspark.llm.common import bounded, texts
 from topicspark.llm.pieces import library_table
+from topicspark.llm.rolling import mix
 from topicspark.session import scratch_path
 
 BITS = 20  # pairs are counted in 2**BITS cells before the exact count
@@ -80,12 +81,16 @@ def re_pair(ids: np.ndarray, owner: np.ndarray, first: int, least: int = 16, rou
             break
         pair = (a[at] << 32) | b[at]
         found, number, times = np.unique(pair, return_inverse=True, return_counts=True)
-        # a pair takes part where it is the more frequent of the pairs it overlaps; ties go to the left
-        weight = np.where(times >= least, times, 0)[number] * (1 << 24) + (len(found) - number)
+        # a pair takes part where it is the more frequent of the pairs it overlaps; a hash of the pair breaks ties,
+        # so that no order of the ids makes one pair wait for the next, and in a run of one pair every second one takes part
+        hashed = (mix(found.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
+        order = np.arange(len(at))
+        run = np.concatenate([[False], (pair[1:] == pair[:-1]) & (at[1:] == at[:-1] + 1)])
+        odd = (order - np.maximum.accumulate(np.where(run, 0, order))) % 2
         strength = np.zeros(len(sym) + 1, np.int64)
-        strength[at + 1] = weight
+        strength[at + 1] = (np.where(times >= least, times, 0) * (1 << 24) + hashed)[number] * 2 + 1 - odd
         here, before, after = strength[1:], strength[:-1], np.append(strength[2:], 0)
-        win = (here > 0) & (here >= (1 << 24)) & (here >= after) & (here > before)
+        win = (here > 0) & (here >= (1 << 25)) & (here >= after) & (here > before)
         pos = np.flatnonzero(win[:len(sym) - 1])
         if not len(pos):
             break
