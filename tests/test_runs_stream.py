@@ -31,3 +31,24 @@ def test_stream_equals_batch(spark):
     s = sorted(map(tuple, qs["stream_assign"](spark, sf).collect()))
     b = sorted(map(tuple, qs["assign_new"](spark, sf).collect()))
     assert s == b and len(s) > 0
+
+
+def test_texts_without_a_known_term_are_assigned_to_minus_one(spark, tmp_path, monkeypatch):
+    from topicspark.operators import model as K
+    from topicspark.plans import q_model as QM
+    from topicspark.streaming.assign import assign_batch
+    rows = [(1, 0, "apple pie"), (1, 1, ""), (2, 0, None), (2, 1, "zzz"), (None, 0, "?!")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn int, text string")
+    conv.write.parquet(str(tmp_path / "conversations.parquet"))
+    idf = spark.createDataFrame([("apple", 1, 2), ("pie", 2, 2)], "term string, df long, n_units long")
+    cents = K.centroid_array(spark.createDataFrame([(0, d, 1.0 if d % 2 else -0.5) for d in range(64)] + [(1, d, -1.0 if d % 2 else 0.5) for d in range(64)],
+                                                   "topic int, dim int, value double"), 64)
+    streamed = assign_batch(conv, idf, cents, ["conv_id", "turn"])
+    monkeypatch.setattr(QM, "corpus_idf", lambda spark, sf: idf)
+    monkeypatch.setattr(QM, "_topic_vectors_e1", lambda spark, sf: cents)
+    queried = QM.q_assign_new(spark, str(tmp_path))
+    for got in (streamed, queried):
+        by = {(r["conv_id"], r["turn"]): (r["topic"], r["similarity"]) for r in got.collect()}
+        assert set(by) == {(c, t) for c, t, _ in rows} and got.count() == len(rows)
+        assert by[1, 0][0] >= 0 and by[1, 0][1] > 0
+        assert all(by[k] == (-1, None) for k in by if k != (1, 0))

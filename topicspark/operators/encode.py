@@ -44,9 +44,15 @@ def hash_encode(counts: DataFrame, idf: DataFrame, unit: str = "docid", dims: in
     return out.select(unit, "dim", (F.col("raw") / F.col("norm")).alias("value"))
 
 
-def to_dense(long: DataFrame, unit: str = "docid", dims: int = DIMS, out: str = "embedding") -> DataFrame:
-    """(unit, dim, value) -> (unit, array<double> of length dims), missing dims 0."""
+def to_dense(long: DataFrame, unit: str = "docid", dims: int = DIMS, out: str = "embedding", units: DataFrame | None = None) -> DataFrame:
+    """(unit, dim, value) -> (unit, array<double> of length dims), missing dims 0.
+
+    A text without a known term has no row in ``long``; given the table of all
+    ``units`` (each once), such a unit gets the zero vector.
+    """
     per = long.groupBy(unit).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))
+    if units is not None:
+        per = units.select(unit).join(per, unit, "left")
     return per.select(unit, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
                                         lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)).cast("double")).alias(out))
 

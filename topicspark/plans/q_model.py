@@ -194,11 +194,12 @@ def _topic_vectors_e1(spark, sf):
 
 
 def _conv_vectors(spark, sf):
+    """E1 vectors of all conversation turns; a turn without a known term has the zero vector."""
     conv = table(spark, sf, "conversations").select("conv_id", "turn", C.T.tokenize_word("text").alias("tokens"))
     counts = V.term_counts(conv, ["conv_id", "turn"])
     idf = corpus_idf(spark, sf)
     long = E.hash_encode(counts.withColumn("unit", F.struct("conv_id", "turn")).drop("conv_id", "turn"), idf, unit="unit")
-    dense = E.to_dense(long, unit="unit")
+    dense = E.to_dense(long, unit="unit", units=conv.select(F.struct("conv_id", "turn").alias("unit")).distinct())
     return dense.select("unit.conv_id", "unit.turn", "embedding")
 
 
