@@ -147,6 +147,21 @@ def test_local_search_raises_squared_fill():
     assert fill(better) > fill(bins) and len(better) < 60 and all(sum(lengths[k] for k in b) <= 2048 for b in better)
 
 
+def test_local_search_tries_every_pair():
+    lengths = [1000, 947, 100] + [2] * 64 + [51, 50]  # only 51 + 50 for 100 fills the first
+    better = packing.improve([[0, 1, 2], list(range(3, len(lengths)))], lengths, 2048)
+    assert sorted(k for b in better for k in b) == list(range(len(lengths)))
+    assert max(sum(lengths[k] for k in b) for b in better) == 2048
+
+
+def test_underfull_sequences_are_dealt_again_until_they_fit_a_shard(spark):
+    rng = random.Random(9)
+    lengths = [rng.randint(300, 1100) for _ in range(2000)]
+    rows = packing.pack(spark.createDataFrame([(n,) for n in lengths], "length bigint"), 2048, per_shard=40).collect()
+    assert sorted(r["length"] for r in rows) == sorted(lengths)
+    assert check_packing(rows, 2048) <= -(-sum(lengths) // 2048) + 28
+
+
 def test_assembled_sequences_hold_the_ids(awkward):
     parts = packing.pieces(awkward, WORD)
     out = packing.assemble(packing.pack(parts, 2048)).collect()

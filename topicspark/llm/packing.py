@@ -6,7 +6,8 @@ best-fit, longest first, and a local search then moves or exchanges documents
 (one for one, two for one) between its underfull sequences, always towards the
 fuller one, so that the sum of squared fills grows and sequences run empty.
 Sequences that are full are done; the pieces of underfull ones are dealt anew
-into fewer shards and packed again, so that waste doesn't add up over shards.
+into fewer shards and packed again, until they fit one shard or their number
+stops falling, so that waste doesn't add up over shards.
 
 Defined cases: null and empty texts are one end id; a text of any length is
 cut into whole sequences and a rest; rows that repeat a doc_id are packed each
@@ -15,6 +16,8 @@ on its own; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +27,7 @@ from topicspark.llm.common import bounded, texts
 from topicspark.llm.pieces import library_table
 from topicspark.session import materialize
 
-FULL, AGAIN = 1 << 62, 1 << 61  # sequence ids of pieces that fill one, and of the second round
+FULL, ROUND = 1 << 62, 1 << 50  # sequence ids of pieces that fill one, and of each round
 
 
 def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFrame:
@@ -69,22 +72,52 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], size: int, passes: int = 20, width: int = 64) -> list[list[int]]:
+class _Offers:
+    """What a sequence can give: a piece of each length, and as bit sets the lengths of single pieces and of pairs."""
+
+    def __init__(self, pieces: list[int], lengths: list[int]):
+        self.by: dict[int, list[int]] = {}
+        for k in pieces:
+            self.by.setdefault(lengths[k], []).append(k)
+        self.one = self.two = 0
+        for n, same in self.by.items():
+            self.two |= self.one << n
+            if len(same) > 1:
+                self.two |= 1 << 2 * n
+            self.one |= 1 << n
+
+    def pair(self, total: int) -> list[int]:
+        """Two pieces of this length together."""
+        for n, same in self.by.items():
+            other = self.by.get(total - n)
+            if other and (other is not same or len(same) > 1):
+                return [same[0], other[-1]]
+        raise ValueError(total)
+
+
+def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
     """Local search on the underfull sequences; a step is taken only if it makes the fuller of two fuller still.
 
-    ``passes`` and ``width`` (underfull partners tried for one sequence) bound the effort, not the result's validity.
+    Each sequence meets all fuller ones, again and again until no step is left;
+    the sum of squared fills grows with each step, so there is an end.
     """
     fill = [sum(lengths[k] for k in b) for b in bins]
     under = [i for i, f in enumerate(fill) if f < size]
-    for _ in range(passes):
+    offers = {i: _Offers(bins[i], lengths) for i in under}
+    changed = True
+    fresh = set(under)  # changed since they were last held against all others
+    while changed:
         changed = False
         under = sorted((i for i in under if 0 < fill[i] < size), key=lambda i: -fill[i])
+        now, fresh = fresh, set()
         for rank, low in enumerate(reversed(under)):
-            for high in under[:max(0, len(under) - 1 - rank)][-width:]:
+            for high in under[:max(0, len(under) - 1 - rank)]:
+                if low not in now and high not in now and low not in fresh and high not in fresh:
+                    continue
                 gap = size - fill[high]
                 if gap <= 0 or fill[high] < fill[low] or not bins[low]:
                     continue
-                step = _best_step(bins[high], bins[low], lengths, gap)
+                step = _best_step(offers[high], offers[low], gap)
                 if step is None:
                     continue
                 out, into = step
@@ -97,30 +130,33 @@ def improve(bins: list[list[int]], lengths: list[int], size: int, passes: int =
                 moved = sum(lengths[k] for k in into) - sum(lengths[k] for k in out)
                 fill[high] += moved
                 fill[low] -= moved
+                offers[high], offers[low] = _Offers(bins[high], lengths), _Offers(bins[low], lengths)
+                fresh |= {high, low}
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
-def _best_step(high: list[int], low: list[int], lengths: list[int], gap: int) -> tuple[list[int], list[int]] | None:
+def _best_step(high: _Offers, low: _Offers, gap: int) -> tuple[list[int], list[int]] | None:
     """(leave high, enter high) that fills most of ``gap``: a move, one for one, or two for one."""
     best, step = 0, None
-    offers = [([k], lengths[k]) for k in low]
-    offers += [([a, b], lengths[a] + lengths[b]) for i, a in enumerate(low) for b in low[:i]][:2000]
-    for into, length in offers:
-        if len(into) == 1 and best < length <= gap:
-            best, step = length, ([], into)
-        for out in high:
-            gain = length - lengths[out]
-            if best < gain <= gap:
-                best, step = gain, ([out], into)
-    return step
-
-
-def _pack_shards(rows: DataFrame, size: int, per_shard: int, tag: int) -> DataFrame:
+    for lengths in (low.one, low.two):
+        for out in (0, *high.by) if lengths is low.one else high.by:
+            gain = (lengths & ((2 << gap + out) - 1)).bit_length() - 1 - out
+            if gain > best:
+                best, step = gain, (out, lengths)
+                if best == gap:
+                    break
+        if best == gap:
+            break
+    if step is None:
+        return None
+    out, lengths = step
+    total = best + out
+    return [high.by[out][0]] if out else [], [low.by[total][0]] if lengths is low.one else low.pair(total)
+
+
+def _pack_shards(rows: DataFrame, size: int, shards: int, tag: int) -> DataFrame:
     """rows (row, length) -> (row, sequence_id, offset, fill); each shard is packed on its own."""
-    shards = max(1, -(-rows.count() // per_shard))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("row")
@@ -135,7 +171,7 @@ def _pack_shards(rows: DataFrame, size: int, per_shard: int, tag: int) -> DataFr
         offset = ends - length - np.repeat((ends - length)[first], [len(b) for b in bins])
         return pa.table({"row": t.column("row").to_numpy()[order], "sequence_id": tag + (np.int64(shard) << 24) + number, "offset": offset, "fill": fill[number]})
 
-    dealt = rows.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
+    dealt = rows.select("row", "length", F.pmod(F.xxhash64("row", F.lit(tag)), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(run, "row bigint, sequence_id bigint, offset bigint, fill bigint")
 
 
@@ -143,10 +179,26 @@ def pack(rows: DataFrame, size: int = 2048, per_shard: int = 20_000) -> DataFram
     """Add sequence_id and offset to rows that have a ``length`` of 1 to ``size``."""
     stored = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pieces")
     short = stored.filter(F.col("length") < size)
-    first = materialize(_pack_shards(short, size, per_shard, 0), "packed")
-    again = short.join(first.filter(F.col("fill") < size).select("row"), "row", "left_semi")
-    second = _pack_shards(again, size, per_shard, AGAIN)
-    places = first.filter(F.col("fill") >= size).unionAll(second).select("row", "sequence_id", "offset")
+    places, todo, turn, last, before = [], short.select("row", "length"), 0, None, None
+    while True:
+        shards = max(1, -(-todo.count() // per_shard))
+        if turn * ROUND >= FULL:
+            raise RuntimeError("too many rounds for the sequence ids")
+        got = materialize(_pack_shards(todo, size, shards, turn * ROUND), "packed")
+        full = F.col("fill") >= size
+        kinds = dict(got.groupBy(full.alias("full")).agg(F.countDistinct("sequence_id").alias("n")).collect())
+        under = kinds.get(False, 0)
+        if last is not None and sum(kinds.values()) > before:  # dealt anew they need more: the round before stays
+            places.append(last)
+            break
+        if shards == 1 or last is not None and under >= before:
+            places.append(got)
+            break
+        places.append(got.filter(full))
+        last, before = got.filter(~full), under
+        todo = materialize(todo.join(last.select("row"), "row", "left_semi"), "underfull")
+        turn += 1
+    places = reduce(DataFrame.unionAll, places).select("row", "sequence_id", "offset")
     whole = stored.filter(F.col("length") >= size).withColumn("sequence_id", F.lit(FULL) + F.col("row")).withColumn("offset", F.lit(0).cast("bigint"))
     return short.join(places, "row").unionByName(whole).drop("row")
 
