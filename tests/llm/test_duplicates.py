@@ -111,6 +111,35 @@ def test_op3_keeps_one_of_each_group(awkward):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((r[0] for r in awkward_rows() if r[0] not in gone), key=str)
 
 
+def test_op3_removes_rows_not_ids(spark):
+    """Of rows that share a doc_id only the near copy goes, and of near copies that share one, one stays."""
+    rng = random.Random(17)
+    base, clean, other = (words(rng, 200, 5000) for _ in range(3))
+    near = lambda t: t + " one more"
+    rows = [(1, base), (2, near(base)), (2, clean), (3, other), (3, near(other)), (4, ""), (4, ""), (5, near(clean)), (None, base), (None, base)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, place int")
+    kept = ngram_join.keep_one(docs, 5, 80)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    threes = [r for r in got if r[0] == 3]
+    assert len(threes) == 1 and threes[0] in rows
+    assert by_key(r for r in got if r[0] != 3) == by_key([(1, base), (2, clean), (4, ""), (4, ""), (None, base), (None, base)])
+    twice = spark.createDataFrame([(7, base), (7, base), (8, near(base))], "doc_id bigint, text string")
+    assert [tuple(r) for r in ngram_join.keep_one(twice, 5, 80).collect()] == [(7, base)]
+
+
+def test_op3_links_sizes_far_apart(spark):
+    rng = random.Random(19)
+    rows = []
+    for k, size in enumerate((12, 16, 30, 60)):
+        w = [f"t{k}w{j}" for j in range(size)]
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join([*w, *(f"x{rng.randrange(10**6)}" for _ in range((size - 2) * 3 // 7))]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for t in (70, 50):
+        got = by_key(ngram_join.jaccard_components(docs, 3, t).collect())
+        assert got == components(rows, 3, t) and len({c for _, _, c in got}) == 4
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 200)] + [(500, 501), (501, 502)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}

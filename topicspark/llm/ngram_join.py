@@ -44,11 +44,12 @@ SALTS = 8
 LONGER = 12  # shingles that the longer prefixes of two linked sets have in common
 
 
-def size_classes(top: int = 1 << 40) -> np.ndarray:
-    """Lower bounds of the size classes; a class spans a factor of about 1.3."""
+def size_classes(t: int, top: int = 1 << 40) -> np.ndarray:
+    """Lower bounds of the size classes; a class spans a factor of about 1.3, or 100 / t if that is
+    more, so that sets t percent alike are of one class or of neighbouring ones."""
     out = [1]
     while out[-1] < top:
-        out.append(max(out[-1] + 1, int(out[-1] * 1.3)))
+        out.append(max(out[-1] + 1, int(out[-1] * 1.3), 100 * out[-1] // t))
     return np.array(out, np.int64)
 
 
@@ -101,8 +102,8 @@ def _fragments(owner: np.ndarray, key: np.ndarray, n: np.ndarray, group: np.ndar
 
 
 def document_sets(docs: DataFrame, n: int, t: int) -> DataFrame:
-    """(doc_id, n_shingles, cid, sig, frags) of each row; cid and sig name the set."""
-    bounds = size_classes()
+    """(doc_id, body, n_shingles, cid, sig, frags) of each row; cid and sig name the set, body the text."""
+    bounds = size_classes(t)
 
     def run(batches):
         for b in bounded(batches, "text", 4 << 20):
@@ -122,9 +123,9 @@ def document_sets(docs: DataFrame, n: int, t: int) -> DataFrame:
             sig = sig[np.argsort(who, kind="stable")]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=b.num_rows))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(cid), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(sig))],
-                ["doc_id", "n_shingles", "cid", "sig", "frags"])
-    return texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, cid bigint, sig bigint, frags array<bigint>")
+                [b.column("doc_id"), b.column("body"), pa.array(size, pa.int64()), pa.array(cid), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(sig))],
+                ["doc_id", "body", "n_shingles", "cid", "sig", "frags"])
+    return texts(docs).withColumn("body", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, body bigint, n_shingles bigint, cid bigint, sig bigint, frags array<bigint>")
 
 
 def _class_keys(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
@@ -164,7 +165,7 @@ def _can_reach(t: int):
 def jaccard_links(docs: DataFrame, n: int = 3, t: int = 90, pieces: int = 4) -> tuple[DataFrame, DataFrame]:
     """(members, components): each row's class, and (cid, component) of classes that are linked.
 
-    ``members`` has doc_id, n_shingles, cid, sig; a component is named by one
+    ``members`` has doc_id, body, n_shingles, cid, sig; a component is named by one
     of its class ids.
     """
     sets = materialize(document_sets(docs, n, t), "sets")
@@ -214,7 +215,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, t: int = 90, pieces: int = 4) ->
     close = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & _can_reach(t) & (F.size(met) >= needed) & (F.element_at(met, 1) == F.col("ka"))
     rest = one.withColumnRenamed("key", "ka").join(two.withColumnRenamed("key", "kb"), (F.col("ka") == F.col("kb")) & close)
     links = links.unionAll(_overlaps(rest.select("a", "b", "na", "nb").distinct(), vectors, t))
-    return sets.select("doc_id", "n_shingles", "cid", "sig"), connected_components(links).withColumnRenamed("node", "cid").withColumnRenamed("root", "component")
+    return sets.select("doc_id", "body", "n_shingles", "cid", "sig"), connected_components(links).withColumnRenamed("node", "cid").withColumnRenamed("root", "component")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, t: int = 90) -> DataFrame:
@@ -230,6 +231,20 @@ def jaccard_components(docs: DataFrame, n: int = 3, t: int = 90) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component (or is null), with all columns."""
-    gone = jaccard_components(docs, n, t).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("bigint") == F.col("__gone"), "left_anti")
+    """One row of each component, with all columns, and all rows without doc_id or words.
+
+    It is the row with the smallest doc_id; of rows that repeat this doc_id,
+    one.  Rows are told apart by doc_id and text.
+    """
+    members, parts = jaccard_links(docs, n, t)
+    known = members.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("cid", F.struct("doc_id", "body").alias("me"))
+    least = known.groupBy("cid").agg(F.min("me").alias("rep")).join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = least.groupBy("component").agg(F.min("rep").alias("keep"))
+    names = least.join(named, "component").select("cid", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = known.withColumn("salt", F.pmod(F.hash("me"), F.lit(SALTS))).join(names, ["cid", "salt"])
+    marks = rows.groupBy("me").agg(F.count("*").alias("n"), F.first(F.col("me") != F.col("keep")).alias("__gone")).filter("__gone OR n > 1")
+    marks = materialize(marks.select(F.col("me.doc_id").alias("__id"), F.col("me.body").alias("__text"), "__gone"), "near-copies")
+    marked = docs.withColumn("__body", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    same = (marked["doc_id"].cast("bigint") == F.col("__id")) & (marked["__body"] == F.col("__text"))
+    again = marked.join(marks.filter("NOT __gone"), same, "left_semi").dropDuplicates(["doc_id", "__body"])  # the kept row, more than once
+    return marked.join(marks, same, "left_anti").unionAll(again).drop("__body")
