@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from topicspark.llm import byte_bpe, chat_format, class_lm, exact_dedup, ngram_join, packing, quality, substring_dedup, syncmers, token_files
+from topicspark.llm import byte_bpe, chat_format, class_lm, exact_dedup, ngram_join, packing, periodic_runs, quality, substring_dedup, syncmers, token_files
 from topicspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,28 @@ def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents in Re-Pair compressed files, read back."""
     return token_files.file_report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# crc32 of the id's digits, bit by bit; a run is an island of places whose word stands again a period on
+@query("op13_periodic_runs", r"""
+WITH b AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(str_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, x: list_reduce([xor(crc, x)] || range(8), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))) END AS h FROM documents),
+g AS (SELECT doc_id, w, h, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM b),
+p AS (SELECT doc_id, w, n, a, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - a) // (3 + (h // 10) % 8) END AS p FROM g),
+x AS (SELECT doc_id, i, w[1 + CASE WHEN p IS NULL OR i < a THEN i ELSE a + (i - a) % p END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+e AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM x l JOIN x r ON r.doc_id = l.doc_id AND r.word = l.word AND r.i > l.i),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e)
+      GROUP BY doc_id, q, island HAVING count(*) >= greatest(12 - q, q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+t AS (SELECT doc_id, count(*) AS n_runs, arg_min({'start': start, 'length': length, 'period': period}, {'l': -length, 's': start, 'p': period}) AS best,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS body FROM x
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.period AND x.i < r.start + r.length) GROUP BY x.doc_id)
+SELECT p.doc_id, coalesce(t.n_runs, 0)::BIGINT AS n_runs, t.best.start::BIGINT AS start, t.best.length::BIGINT AS length, t.best.period::BIGINT AS period,
+       (1000 * t.best.length // t.best.period)::BIGINT AS exponent_milli, sha256(coalesce(t.lines, '')) AS runs_sha256, sha256(coalesce(k.body, '')) AS collapsed_sha256
+FROM p LEFT JOIN t ON t.doc_id = p.doc_id LEFT JOIN k ON k.doc_id = p.doc_id
+""")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, every tenth of them rewritten to repeat itself."""
+    return periodic_runs.run_report(documents(spark, sf_dir))
