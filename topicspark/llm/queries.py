@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from topicspark.llm import byte_bpe, chat_format, class_lm, exact_dedup, ngram_join, packing, periodic_runs, quality, substring_dedup, syncmers, token_files
+from topicspark.llm import byte_bpe, chat_format, class_lm, exact_dedup, ngram_join, packing, periodic_runs, quality, substring_dedup, syncmers, token_files, whitening
 from topicspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,9 @@ FROM p LEFT JOIN t ON t.doc_id = p.doc_id LEFT JOIN k ON k.doc_id = p.doc_id
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents, every tenth of them rewritten to repeat itself."""
     return periodic_runs.run_report(documents(spark, sf_dir))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened values of all embeddings on the four largest components of their distinct vectors."""
+    return whitening.whitening_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
