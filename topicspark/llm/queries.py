@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from topicspark.llm import byte_bpe, chat_format, class_lm, exact_dedup, ngram_join, packing, periodic_runs, quality, substring_dedup, syncmers, token_files, whitening
+from topicspark.llm import ann, byte_bpe, chat_format, class_lm, exact_dedup, ngram_join, packing, periodic_runs, quality, substring_dedup, syncmers, token_files, whitening
 from topicspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened values of all embeddings on the four largest components of their distinct vectors."""
     return whitening.whitening_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op11_ann")
+def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings found for every embedding whose id is divisible by 20, through learned partitions."""
+    return ann.neighbour_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
