@@ -21,9 +21,10 @@ the sample's (``LOUD``) are near to many queries whatever their direction; they
 form a part of their own that every query visits.
 
 Equal vectors are indexed and searched once, with the least ids that any
-answer can need.  A part is dealt into cells of bounded size on both sides, so
-no part, however large, is one task's work, and a cell returns ``k + 1`` rows a
-query.  Driver: the sample, the model, and part sizes.
+answer can need.  Parts in order share a cell up to a size, and a larger part
+is dealt into several, on both sides, so no part is one task's work; a query is
+sent once to a cell with the parts it visits there, and the cell returns
+``k + 1`` rows for it.  Driver: the sample, the model, and part sizes.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite
 components take no part, nor do those whose length is not the most frequent
@@ -258,8 +259,19 @@ def indexed(distinct: DataFrame, router: Router) -> DataFrame:
     return distinct.select("v", "ids").mapInArrow(run, "part int, v array<double>, ids array<bigint>")
 
 
-def routed(queries: DataFrame, router: Router, sizes: np.ndarray, k: int) -> DataFrame:
-    """(q, v, parts): the parts each query visits; as many as hold k + 1 vectors, where there are that many."""
+def bins_of(sizes: np.ndarray, cell: int) -> np.ndarray:
+    """The bin of each part: parts in order fill a bin up to ``cell`` vectors, a larger part has one alone."""
+    out, now, held = [], 0, 0
+    for n in sizes.tolist():
+        if held and held + n > cell:
+            now, held = now + 1, 0
+        out.append(now)
+        held += n
+    return np.array(out)
+
+
+def routed(queries: DataFrame, router: Router, sizes: np.ndarray, bins: np.ndarray, k: int) -> DataFrame:
+    """(q, v, bin, parts): the parts each query visits, a row for each bin; as many as hold k + 1 vectors, where there are that many."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -267,10 +279,17 @@ def routed(queries: DataFrame, router: Router, sizes: np.ndarray, k: int) -> Dat
             order = router.order(_matrix(b.column(1)))
             seen = np.cumsum(sizes[order], axis=1) + sizes[router.parts]
             need = np.maximum(router.probes, 1 + np.where(seen[:, -1] > k, np.argmax(seen > k, axis=1), router.parts - 1))
-            parts = [[router.parts, *o[:m]] for o, m in zip(order.tolist(), need.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.list_(pa.int32()))], names=["q", "v", "parts"])
+            visits = []
+            for o, m in zip(order, need.tolist(), strict=True):
+                own = np.sort(np.r_[router.parts, o[:m]])
+                own = own[sizes[own] > 0]
+                at = bins[own]
+                visits.append([{"bin": int(at[x[0]]), "parts": own[x].tolist()} for x in np.split(np.arange(len(own)), np.flatnonzero(np.diff(at)) + 1) if len(x)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(visits, kind)], names=["q", "v", "visits"])
 
-    return queries.select("q", "v").mapInArrow(run, "q bigint, v array<double>, parts array<int>")
+    kind = pa.list_(pa.struct([("bin", pa.int32()), ("parts", pa.list_(pa.int32()))]))
+    rows = queries.select("q", "v").mapInArrow(run, "q bigint, v array<double>, visits array<struct<bin:int,parts:array<int>>>")
+    return rows.select("q", "v", F.explode("visits").alias("x")).select("q", "v", "x.bin", "x.parts")
 
 
 def _cell(k: int):
@@ -279,29 +298,45 @@ def _cell(k: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         number, q, x = left.column("q").to_numpy(), _matrix(left.column("v")), _matrix(right.column("v"))
+        if not len(q) or not len(x):
+            return schema.empty_table()
+        ids, parts = right.column("ids").combine_chunks(), left.column("parts").combine_chunks()
+        many = np.diff(ids.offsets.to_numpy())
+        begin, ids = np.cumsum(many) - many, ids.flatten().to_numpy()
+        visitor, visited = np.repeat(np.arange(len(q)), np.diff(parts.offsets.to_numpy())), parts.flatten().to_numpy()
+        home = right.column("part").to_numpy()
         out = []
-        if len(q) and len(x):
-            ids = right.column("ids").combine_chunks()
-            many = np.diff(ids.offsets.to_numpy())
-            begin, ids = np.cumsum(many) - many, ids.flatten().to_numpy()
-            top = min(k + 1, len(x))
-            size = np.sqrt((x * x).sum(1)).max()
-            for at in range(0, len(q), 128):
-                part = q[at:at + 128]
-                s = part @ x.T
+        for p in np.unique(visited):
+            here, who = np.flatnonzero(home == p), visitor[visited == p]
+            if not len(here):
+                continue
+            y = x[here]
+            top = min(k + 1, len(y))
+            size = np.sqrt((y * y).sum(1)).max()
+            for at in range(0, len(who), 128):
+                part = q[who[at:at + 128]]
+                s = part @ y.T
                 least = -np.partition(-s, top - 1, axis=1)[:, top - 1] - 1e-12 * size * np.sqrt((part * part).sum(1))
                 row, col = np.nonzero(s >= least[:, None])
-                score = np.zeros(len(row))
-                for d in range(x.shape[1]):  # one order of summation everywhere
-                    score += part[row, d] * x[col, d]
-                same = (part[row] == x[col]).all(1)
-                each = np.repeat(np.arange(len(row)), many[col])
-                vec_id = ids[np.arange(len(each)) - np.repeat(np.cumsum(many[col]) - many[col], many[col]) + begin[col][each]]
-                order = np.lexsort((vec_id, -score[each], row[each]))
-                owner = row[each][order]
-                keep = order[np.arange(len(owner)) - np.searchsorted(owner, owner) <= k]
-                out.append(pa.table([number[at + row[each[keep]]], vec_id[keep], score[each[keep]], same[each[keep]]], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+                out.append((who[at + row], here[col]))
+        if not out:
+            return schema.empty_table()
+        row, col = (np.concatenate(c) for c in zip(*out, strict=True))
+        score = np.zeros(len(row))
+        for d in range(x.shape[1]):  # one order of summation everywhere
+            score += q[row, d] * x[col, d]
+        order = np.lexsort((-score, row))  # no more than k + 1 classes and their ties matter
+        row, col, score = row[order], col[order], score[order]
+        last = np.minimum(np.searchsorted(row, row) + k, np.searchsorted(row, row, "right") - 1)
+        near = score >= score[last]
+        row, col, score = row[near], col[near], score[near]
+        same = (q[row] == x[col]).all(1)
+        each = np.repeat(np.arange(len(row)), many[col])
+        vec_id = ids[np.arange(len(each)) - np.repeat(np.cumsum(many[col]) - many[col], many[col]) + begin[col][each]]
+        order = np.lexsort((vec_id, -score[each], row[each]))
+        owner = row[each][order]
+        keep = order[np.arange(len(owner)) - np.searchsorted(owner, owner) <= k]
+        return pa.table([number[row[each[keep]]], vec_id[keep], score[each[keep]], same[each[keep]]], schema=schema)
 
     return run
 
@@ -312,16 +347,19 @@ def search(index: DataFrame, queries: DataFrame, router: Router, k: int) -> Data
     sizes = np.zeros(router.parts + 1, np.int64)
     for r in index.groupBy("part").count().collect():
         sizes[r["part"]] = r["count"]
-    visits = materialize(routed(queries, router, sizes, k), "visits").withColumn("part", F.explode("parts")).drop("parts")
-    asked = {r["part"]: r["count"] for r in visits.groupBy("part").count().collect()}
     dims = queries.agg(F.first(F.size("v"))).first()[0] or 1
     cell = max(k + 1, CELL_BYTES // (8 * dims))
-    plan = spark.createDataFrame([(p, -(-int(n) // cell), -(-asked[p] // cell)) for p, n in enumerate(sizes) if n and p in asked], "part int, chunks bigint, slices bigint")
-    here = index.join(F.broadcast(plan), "part").select("part", "v", "ids", F.pmod(F.xxhash64("v"), F.col("chunks")).alias("chunk"),
+    bins = bins_of(sizes, cell)
+    visits = materialize(routed(queries, router, sizes, bins, k), "visits")
+    asked = {r["bin"]: r["count"] for r in visits.groupBy("bin").count().collect()}  # at most a row a part
+    held = np.bincount(bins, sizes)
+    plan = spark.createDataFrame([(p, int(b), -(-int(held[b]) // cell), -(-asked[b] // cell)) for p, b in enumerate(bins.tolist()) if sizes[p] and b in asked],
+                                 "part int, bin int, chunks bigint, slices bigint")
+    here = index.join(F.broadcast(plan), "part").select("bin", "part", "v", "ids", F.pmod(F.xxhash64("v"), F.col("chunks")).alias("chunk"),
                                                         F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    there = visits.join(F.broadcast(plan), "part").select("part", "q", "v", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-                                                          F.pmod("q", F.col("slices")).alias("slice"))
-    cells = ["part", "chunk", "slice"]
+    there = visits.join(F.broadcast(plan.drop("part").distinct()), "bin").select(
+        "bin", "q", "v", "parts", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod("q", F.col("slices")).alias("slice"))
+    cells = ["bin", "chunk", "slice"]
     found = there.groupBy(*cells).cogroup(here.groupBy(*cells)).applyInArrow(_cell(k), "q bigint, vec_id bigint, score double, same boolean")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k + 1)
     return best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score", "same"))).alias("near"))
