@@ -233,3 +233,18 @@ def test_op6_anchors_are_free_of_context(spark):
     got = {r["doc_id"]: {x["a"]: x["at"] for x in r["own"]} for r in df.collect()}
     assert got[4].keys() <= got[1].keys() and got[4].keys() <= got[2].keys() and not got[4].keys() & got[3].keys()
     assert {got[1][a] - at for a, at in got[4].items()} == {30} and len(got[4]) > 10
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement have one polynomial hash in every odd base; they are different words."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(4)
+    common = words(rng, 49)
+    docs = spark.createDataFrame([(1, f"{word} {common}"), (2, f"{other} {common}"), (3, word), (4, other)], "doc_id bigint, text string")
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.removal_report(docs).collect()}
+    assert removed == {1: 0, 2: 0, 3: 0, 4: 0}
+    linked = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs, 3, 90).collect()}
+    assert linked[3] == 3 and linked[4] == 4

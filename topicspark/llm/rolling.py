@@ -3,14 +3,21 @@
 Hashes are polynomials modulo 2**64 in an odd base; a window's hash is the
 difference of two prefix sums, scaled back by the inverse power.  Word hashes
 are mixed afterwards, so windows add up well-spread values.
+
+Long strings of two letters can be built that such polynomials never tell
+apart, whatever the base (from 1,024 letters on), so words of ``LONG`` bytes
+and more get a keyed cryptographic digest instead; windows are shorter than that.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 BLOCK = 1 << 20
+LONG = 64
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -72,7 +79,11 @@ class Words:
             a, b = self.starts[at:to] - begin, self.ends[at:to] - begin
             out[at:to] = (sums[b] - sums[a]) * inverse[a]
             at = to
-        return mix(out)
+        out = mix(out)
+        key = base.to_bytes(8, "little")
+        for i in np.flatnonzero(self.ends - self.starts >= LONG).tolist():
+            out[i] = int.from_bytes(blake2b(self.raw[self.starts[i]:self.ends[i]], digest_size=8, key=key).digest(), "little")
+        return out
 
     def owners(self) -> np.ndarray:
         """For each word, the number of its text."""
