@@ -35,31 +35,6 @@ def test_kmeans_topics_dense_by_size(spark, planted):
     assert sorted(r["topic"] for r in out.select("topic").distinct().collect()) == list(range(5))
 
 
-def test_density_topics_find_planted_clusters(spark, planted):
-    out = K.density_topics(planted, micro_k=25, min_topic_size=10, eps=0.3, seed=42)
-    j = out.join(planted.select("docid", "truth"), "docid")
-    topics = {r["topic"] for r in out.select("topic").distinct().collect()} - {-1}
-    assert len(topics) == 5
-    # every planted cluster maps to exactly one topic
-    m = j.where(F.col("truth") >= 0).groupBy("truth").agg(F.countDistinct("topic").alias("k")).collect()
-    assert all(r["k"] == 1 for r in m)
-    # same seed twice gives the same result
-    again = K.density_topics(planted, micro_k=25, min_topic_size=10, eps=0.3, seed=42)
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
-
-
-def test_density_topics_have_no_ceiling(spark):
-    """60 clusters of 15 and scattered points, from 10 micro-clusters: 60 topics, and the scattered points are outliers."""
-    rng = np.random.default_rng(3)
-    rows = [(15 * c + i, [float(x) for x in np.eye(64)[c] * 10 + rng.normal(0, 0.2, 64)], c) for c in range(60) for i in range(15)]
-    rows += [(900 + i, [float(x) for x in rng.normal(0, 1, 64)], -1) for i in range(30)]
-    emb = spark.createDataFrame(rows, "docid long, embedding array<double>, truth int")
-    out = K.density_topics(emb, micro_k=10, min_topic_size=10, eps=0.3).join(emb.select("docid", "truth"), "docid").collect()
-    assert len({r["topic"] for r in out} - {-1}) == 60
-    assert len({(r["truth"], r["topic"]) for r in out if r["truth"] >= 0}) == 60
-    assert all(r["topic"] == -1 for r in out if r["truth"] == -1)
-
-
 def test_probs_sum_to_one_and_assign(spark, planted):
     emb = planted.select("docid", "embedding")
     dt = planted.select("docid", F.col("truth").alias("topic"))

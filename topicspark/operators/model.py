@@ -108,67 +108,6 @@ def kmeans_topics(emb: DataFrame, k: int, seed: int = 42, unit: str = "docid", v
     return renumber_by_size(pred, "cluster", unit)
 
 
-def density_topics(emb: DataFrame, micro_k: int = 50, min_topic_size: int = 10, eps: float = 0.3, seed: int = 42,
-                   unit: str = "docid", vec_col: str = "embedding", core_size: int = 3) -> DataFrame:
-    """K2 (re-aimed): density clusters with outliers = -1.
-
-    Documents are summarised by k-means micro-clusters (a distributed fit).
-    Their number starts at ``micro_k`` and doubles while a micro-cluster large
-    enough for a topic is loose (mean cosine distance to its centroid above
-    eps / 2), so it follows the data and sets no limit on topics.  Micro-clusters
-    of at least ``core_size`` documents whose centroids lie within ``eps`` are
-    linked, smaller ones join their nearest such one within ``eps``; documents
-    farther than ``eps`` from their centroid and groups with fewer than ``min_topic_size`` documents are outliers.  Topics are numbered by size.  The driver holds the centroids
-    only and compares them block by block.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    spark = emb.sparkSession
-    vec = F.transform(vec_col, lambda x: x.cast("double"))
-    data = materialize(emb.select(unit, vec.alias("_v"), array_to_vector(vec).alias("features")), "density-input")
-    n = data.count()
-    k = max(2, min(micro_k, n))
-    while True:
-        model = KMeans(k=k, seed=seed, maxIter=20, distanceMeasure="cosine").fit(data)
-        cents = np.array(model.clusterCenters())
-        norms = np.linalg.norm(cents, axis=1, keepdims=True)
-        cents = cents / np.where(norms == 0, 1, norms)
-        pred = materialize(model.transform(data).select(unit, "_v", F.col("prediction").cast("int").alias("micro")), "micro-clusters")
-        center = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(cents)], "micro int, _c array<double>")
-        cosine = F.try_divide(_dot(F.col("_v"), F.col("_c")), F.sqrt(_dot(F.col("_v"), F.col("_v"))))
-        own = pred.join(center, "micro").select(unit, "micro", (F.lit(1.0) - F.coalesce(cosine, F.lit(0.0))).alias("_far"))
-        micro = own.groupBy("micro").agg(F.count(F.lit(1)).alias("n"), F.avg("_far").alias("spread")).collect()
-        if 2 * k > n or not any(r["n"] >= min_topic_size and r["spread"] > eps / 2 for r in micro):
-            break
-        k *= 2
-    parent = list(range(len(cents)))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    core = np.array(sorted(r["micro"] for r in micro if r["n"] >= core_size), np.int64)
-    rest = np.setdiff1d(np.arange(len(cents)), core)
-    for at in range(0, len(core), 1024):
-        near = 1.0 - cents[core[at:at + 1024]] @ cents[core].T <= eps
-        for i, j in np.argwhere(near).tolist():
-            a, b = find(int(core[at + i])), find(int(core[j]))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    for at in range(0, len(rest) if len(core) else 0, 1024):  # a small one joins its nearest core, but links nothing
-        far = 1.0 - cents[rest[at:at + 1024]] @ cents[core].T
-        for i, j in enumerate(far.argmin(1).tolist()):
-            if far[i, j] <= eps:
-                parent[int(rest[at + i])] = find(int(core[j]))
-    mapping = spark.createDataFrame([(i, find(i)) for i in range(len(cents))], "micro int, comp int")
-    comp = own.join(mapping, "micro").withColumn("comp", F.when(F.col("_far") <= eps, F.col("comp"))).select(unit, "comp")
-    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("_n"))
-    comp = comp.join(sizes, "comp", "left").withColumn("cluster", F.when(F.col("_n") >= min_topic_size, F.col("comp")).otherwise(F.lit(-1)))
-    return renumber_by_size(comp.select(unit, "cluster"), "cluster", unit)
-
-
 def reduce_2d(emb: DataFrame, unit: str = "docid", vec_col: str = "embedding", k: int = 2) -> DataFrame:
     """E2 (re-aimed): 2-D coordinates by PCA (distributed covariance), (unit, x, y)."""
     from pyspark.ml.feature import PCA

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from topicspark.operators import density as D
 from topicspark.operators import encode as E
 from topicspark.operators import metadata as M
 from topicspark.operators import model as K
+from topicspark.operators import neighbours as N
 from topicspark.operators import sample as X
 from topicspark.operators import vectorize as V
 from topicspark.plans import common as C
@@ -219,10 +221,41 @@ def q_kmeans_topics(spark, sf):
     return K.kmeans_topics(fx.doc_embedding(spark, sf), 10, seed=SEED)
 
 
+KNN = 10
+
+
+@query("knn_graph", f"""
+WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM u),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, greatest(1 - list_dot_product(a.v, b.v) / (a.norm * b.norm), 0.0) AS d
+      FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND a.norm > 0 AND b.norm > 0)
+SELECT a, CAST(rank AS INTEGER) AS rank, b, {sql_r6('d')} AS d
+FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM p) WHERE rank <= {KNN}""")
+def q_knn_graph(spark, sf):
+    """K1: the 10 nearest of all embeddings (cosine distance) for every embedding whose id is divisible by 20, exact."""
+    units = N.unit_vectors(table(spark, sf, "embeddings"), "vec_id")
+    g = N.knn_graph(units, units.where(F.col("vec_id") % 20 == 0), KNN, "vec_id")
+    return g.select("a", "rank", "b", r6(F.col("d")).alias("d"))
+
+
 @query("density_cluster")
 def q_density_cluster(spark, sf):
-    """K2: density topics with outliers (-1) from micro-cluster linking of the given embeddings."""
-    return K.density_topics(fx.doc_embedding(spark, sf), micro_k=40, min_topic_size=10, eps=0.35, seed=SEED)
+    """K2: density topics with outliers (-1) of the given embeddings of documents, from the hierarchy of mutual reachability."""
+    return D.density_topics(fx.doc_embedding(spark, sf), min_topic_size=10)
+
+
+@query("density_documents")
+def q_density_documents(spark, sf):
+    """K2 on text: density topics of all documents by their E1 vectors; documents without a known term are outliers."""
+    emb = fx.corpus(spark, sf).select("docid").join(E.to_dense(doc_vectors(spark, sf)), "docid", "left")
+    return D.density_topics(emb, min_topic_size=10)
+
+
+@query("cluster_membership")
+def q_cluster_membership(spark, sf):
+    """K4 by membership: probability of every document for every density topic of all documents (E1 vectors)."""
+    emb = E.to_dense(doc_vectors(spark, sf))
+    return D.membership(D.fit(emb, 10), emb).select("docid", "topic", r6(F.col("prob")).alias("prob"))
 
 
 @query("reduce_2d")
