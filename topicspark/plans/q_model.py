@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicspark.operators import density as D
 from topicspark.operators import encode as E
+from topicspark.operators import layout as Y
 from topicspark.operators import metadata as M
 from topicspark.operators import model as K
 from topicspark.operators import neighbours as N
@@ -260,7 +261,13 @@ def q_cluster_membership(spark, sf):
 
 @query("reduce_2d")
 def q_reduce_2d(spark, sf):
-    """2-D coordinates of every embedded document (PCA)."""
+    """2-D coordinates of every embedded document that keep its neighbours together."""
+    return Y.neighbour_layout(fx.doc_embedding(spark, sf))
+
+
+@query("pca_2d")
+def q_pca_2d(spark, sf):
+    """E2 by principal components: 2-D coordinates of every embedded document."""
     return K.reduce_2d(fx.doc_embedding(spark, sf))
 
 
