@@ -1,5 +1,7 @@
 """Invariants of the trained / iterative operators on planted clusters."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +66,37 @@ def test_reduce_hierarchy_similarity(spark):
 def test_reduce_2d_shape(spark, planted):
     xy = K.reduce_2d(planted.select("docid", "embedding"))
     assert xy.count() == planted.count() and set(xy.columns) == {"docid", "x", "y"}
+
+
+def test_average_linkage_against_all_pairs():
+    """Every merge is the nearest pair of clusters by the mean of all distances between members."""
+    rng = np.random.default_rng(7)
+    for k in (1, 2, 5, 17, 40):
+        x = rng.normal(size=(k, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        clusters, want = {i: [i] for i in range(k)}, []
+        while len(clusters) > 1:
+            best = min((float(np.mean(d[np.ix_(clusters[a], clusters[b])])), a, b) for a in clusters for b in clusters if a < b)
+            clusters[k + len(want)] = clusters.pop(best[1]) + clusters.pop(best[2])
+            want.append((best[1], best[2], best[0]))
+        got = K.average_linkage(d)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_hierarchy_of_many_topics_is_quick():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 8))
+    start = time.time()
+    assert len(K.average_linkage(1 - x @ x.T / 100)) == 1999
+    assert time.time() - start < 60
+
+
+def test_cut_topics_and_counts(spark):
+    sim = spark.createDataFrame([(a, b, 1.0 if a == b else s) for a, b, s in [(0, 0, 1), (1, 1, 1), (2, 2, 1), (-1, -1, 1), (0, 1, .9), (1, 0, .9), (0, 2, .1), (2, 0, .1)]],
+                                "topic_a int, topic_b int, similarity double")
+    sizes = spark.createDataFrame([(0, 3), (1, 4), (2, 9), (-1, 5)], "topic int, size long")
+    plan = K.cut_topics(sim, sizes, 2)
+    assert {tuple(r) for r in plan.collect()} == {(0, 1), (1, 1), (2, 0), (-1, -1)}
+    counts = spark.createDataFrame([(0, "a", 2), (1, "a", 3), (2, "b", 1), (-1, "a", 7)], "topic int, term string, n long")
+    assert {tuple(r) for r in K.merged_counts(counts, plan).collect()} == {(1, "a", 5), (0, "b", 1), (-1, "a", 7)}
+    assert {tuple(r) for r in K.cut_topics(sim, sizes, 0).collect()} == {(2, 0), (1, 1), (0, 2), (-1, -1)}

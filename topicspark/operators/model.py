@@ -160,47 +160,97 @@ def topic_similarity(scores: DataFrame, blocks: int | None = None) -> DataFrame:
 
 
 def _collect_similarity(sim: DataFrame, max_topics: int = MAX_TOPICS):
-    rows = sim.select("topic_a", "topic_b", "similarity").collect()
-    topics = sorted({r[0] for r in rows} | {r[1] for r in rows})
+    """(topics, K x K similarities); the number of topics is checked before anything is collected."""
+    topics = sorted(r[0] for r in sim.select("topic_a").union(sim.select("topic_b")).distinct().limit(max_topics + 1).collect())
     if len(topics) > max_topics:
-        raise ValueError(f"{len(topics)} topics exceed the limit {max_topics} for a merge plan")
+        raise ValueError(f"more than {max_topics} topics: too many for a merge plan")
     pos = {t: i for i, t in enumerate(topics)}
     m = np.zeros((len(topics), len(topics)))
-    for a, b, v in rows:
+    for a, b, v in sim.select("topic_a", "topic_b", "similarity").collect():
         m[pos[a], pos[b]] = v
     return topics, m
 
 
+def average_linkage(d: np.ndarray) -> list[tuple[int, int, float]]:
+    """(left, right, distance) of all merges by distance; a new cluster's number is K + its merge's.
+
+    Follows chains of nearest clusters: two that are each other's nearest merge
+    at once, as average linkage never brings a third one nearer to either
+    (distances after a merge are the mean, weighted by members).  K**2 steps.
+    """
+    k = len(d)
+    d = d.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    size, live = np.ones(k), np.ones(k, bool)
+    chain, merges = [], []
+    for _ in range(k - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(live)[0])]
+        while True:
+            row = np.where(live, d[chain[-1]], np.inf)
+            near = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[near]:
+                near = chain[-2]
+            if len(chain) > 1 and near == chain[-2]:
+                break
+            chain.append(near)
+        a, b = sorted((chain.pop(), chain.pop()))
+        merges.append((float(d[a, b]), a, b))
+        joined = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        live[b] = False
+        size[a] += size[b]
+        d[a], d[:, a] = joined, joined
+        d[a, a] = np.inf
+    # numbers in the order of the distances; a slot's cluster is the last merge into it
+    now, out = list(range(k)), []
+    for distance, a, b in sorted(merges, key=lambda m: m[0]):
+        left, right = sorted((now[a], now[b]))
+        out.append((left, right, distance))
+        now[a] = k + len(out) - 1
+    return out
+
+
+def merge_forest(sim: DataFrame) -> tuple[list[int], list[tuple[int, int, float]]]:
+    """(topics, average-linkage merges on 1 - similarity) without outliers; at most MAX_TOPICS topics, on the driver."""
+    topics, m = _collect_similarity(sim.where((F.col("topic_a") != -1) & (F.col("topic_b") != -1)))
+    return topics, average_linkage(1.0 - m)
+
+
 def topic_hierarchy(sim: DataFrame, sizes: DataFrame) -> DataFrame:
     """A3: agglomerative merges (average linkage on 1 - similarity) of the topics (outliers excluded).
 
     Returns (step, left, right, distance, size); new clusters get ids
-    max(topic)+1, +2, ... as in a dendrogram.  Topic-sized plan on the driver.
+    max(topic)+1, +2, ... as in a dendrogram, in the order of the distances.
     """
-    spark = sim.sparkSession
-    topics, m = _collect_similarity(sim.where((F.col("topic_a") != -1) & (F.col("topic_b") != -1)))
-    size = {r[0]: r[1] for r in sizes.where(F.col("topic") != -1).collect()}
-    d = 1.0 - m
-    clusters = {t: [i] for i, t in enumerate(topics)}
-    csize = {t: size.get(t, 0) for t in topics}
-    next_id = (max(topics) + 1) if topics else 0
-    out = []
-    step = 0
-    while len(clusters) > 1:
-        keys = sorted(clusters)
-        best = None
-        for i, a in enumerate(keys):
-            for b in keys[i + 1:]:
-                dist = float(np.mean(d[np.ix_(clusters[a], clusters[b])]))
-                if best is None or dist < best[0] - 1e-15:
-                    best = (dist, a, b)
-        dist, a, b = best
-        clusters[next_id] = clusters.pop(a) + clusters.pop(b)
-        csize[next_id] = csize[a] + csize[b]
-        out.append((step, int(a), int(b), round(dist, 6), int(csize[next_id])))
-        next_id += 1
-        step += 1
-    return spark.createDataFrame(out, "step int, left int, right int, distance double, size bigint")
+    topics, merges = merge_forest(sim)
+    size = dict(sizes.where(F.col("topic") != -1).collect())
+    number = topics + [max(topics, default=-1) + 1 + i for i in range(len(merges))]
+    count, out = [size.get(t, 0) for t in topics], []
+    for step, (a, b, distance) in enumerate(merges):
+        count.append(count[a] + count[b])
+        out.append((step, int(number[a]), int(number[b]), distance, int(count[-1])))
+    return sim.sparkSession.createDataFrame(out, "step int, left int, right int, distance double, size bigint")
+
+
+def cut_topics(sim: DataFrame, sizes: DataFrame, nr_topics: int) -> DataFrame:
+    """K7: (old_topic, new_topic) of the hierarchy cut where ``nr_topics`` topics are left (0: no reduction).
+
+    Outliers stay -1; new topics are numbered by size, ties by their smallest old topic.
+    """
+    topics, merges = merge_forest(sim)
+    size = dict(sizes.collect())
+    members = {i: [t] for i, t in enumerate(topics)}
+    for step, (a, b, _) in enumerate(merges[:max(0, len(topics) - nr_topics)] if nr_topics > 0 else []):
+        members[len(topics) + step] = members.pop(a) + members.pop(b)
+    order = sorted(members.values(), key=lambda m: (-sum(size.get(t, 0) for t in m), min(m)))
+    rows = [(int(t), new) for new, m in enumerate(order) for t in m] + [(-1, -1)]
+    return sim.sparkSession.createDataFrame(rows, "old_topic int, new_topic int")
+
+
+def merged_counts(counts: DataFrame, plan: DataFrame) -> DataFrame:
+    """(topic, term, n) of the new topics: counts add up, so a cut's c-TF-IDF, words and labels need no text."""
+    j = counts.join(F.broadcast(plan), counts["topic"] == plan["old_topic"])
+    return j.groupBy(F.col("new_topic").alias("topic"), "term").agg(F.sum("n").alias("n"))
 
 
 def reduce_topics_plan(sim: DataFrame, sizes: DataFrame, nr_topics: int) -> DataFrame:

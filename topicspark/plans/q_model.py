@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from topicspark.operators import ctfidf as G
 from topicspark.operators import density as D
 from topicspark.operators import encode as E
 from topicspark.operators import layout as Y
@@ -285,18 +286,65 @@ def q_topic_similarity(spark, sf):
     return fix_similarity(spark, sf).select("topic_a", "topic_b", r6(F.col("similarity")).alias("similarity"))
 
 
-@query("topic_hierarchy")
+# The given topics are 0 to 9 at most: average linkage, one step after the other.
+GIVEN_TOPICS = 10
+NR_TOPICS = 5
+
+
+def sql_merges(steps):
+    """CTEs c0, m0, c1, m1, ...: the clusters before each merge, and the merge."""
+    out = ["""sims AS MATERIALIZED (SELECT a.topic AS a, b.topic AS b, sum(a.score * b.score) / (any_value(na.norm) * any_value(nb.norm)) AS sim
+  FROM ctfidf a JOIN ctfidf b USING (term) JOIN nrm na ON na.topic = a.topic JOIN nrm nb ON nb.topic = b.topic GROUP BY 1, 2)""",
+           "c0 AS MATERIALIZED (SELECT topic AS cluster, topic FROM nrm WHERE topic <> -1)"]
+    for s in range(steps):
+        out += [f"""m{s} AS MATERIALIZED (SELECT x.cluster AS l, y.cluster AS r, avg(1 - coalesce(sim, 0)) AS d
+  FROM c{s} x JOIN c{s} y ON x.cluster < y.cluster LEFT JOIN sims ON sims.a = x.topic AND sims.b = y.topic GROUP BY 1, 2 ORDER BY 3, 1, 2 LIMIT 1)""",
+                f"""c{s + 1} AS MATERIALIZED (SELECT CASE WHEN c.cluster IN (m.l, m.r) THEN {s + 1} + (SELECT max(topic) FROM c0) ELSE c.cluster END AS cluster, c.topic
+  FROM c{s} c LEFT JOIN m{s} m ON true)"""]
+    return ["nrm AS MATERIALIZED (SELECT topic, sqrt(sum(score * score)) AS norm FROM ctfidf GROUP BY topic)", *out]
+
+
+@query("topic_hierarchy", C.sql_fix_ctes(*sql_merges(GIVEN_TOPICS - 1), "size AS (SELECT topic, count(*) AS n FROM doc_topic GROUP BY topic)") + " UNION ALL ".join(f"""
+SELECT CAST({s} AS INTEGER) AS step, CAST(l AS INTEGER) AS left, CAST(r AS INTEGER) AS right, {sql_r6('d')} AS distance,
+       (SELECT CAST(sum(n) AS BIGINT) FROM c{s} JOIN size USING (topic) WHERE cluster IN (l, r)) AS size FROM m{s}""" for s in range(GIVEN_TOPICS - 1)))
 def q_topic_hierarchy(spark, sf):
-    """A3: average-linkage merge order of the topics from their c-TF-IDF similarity."""
-    return K.topic_hierarchy(fix_similarity(spark, sf), K.topic_sizes(fx.doc_topic(spark, sf)))
+    """A3: average-linkage merges of the topics from their c-TF-IDF similarity."""
+    h = K.topic_hierarchy(fix_similarity(spark, sf), K.topic_sizes(fx.doc_topic(spark, sf)))
+    return h.withColumn("distance", r6(F.col("distance")))
+
 
+SQL_CUT = [*sql_merges(GIVEN_TOPICS - NR_TOPICS), f"""cut AS MATERIALIZED (SELECT topic AS old_topic, CAST(dense_rank() OVER (ORDER BY n DESC, first) - 1 AS INTEGER) AS new_topic FROM (
+  SELECT topic, count(*) OVER (PARTITION BY cluster) AS k, sum(n) OVER (PARTITION BY cluster) AS n, min(topic) OVER (PARTITION BY cluster) AS first
+  FROM c{GIVEN_TOPICS - NR_TOPICS} JOIN (SELECT topic, count(*) AS n FROM doc_topic GROUP BY topic) USING (topic)) UNION ALL SELECT -1, -1)"""]
 
-@query("reduce_topics")
+
+@reused("topic_cut")
+def topic_cut(spark, sf):
+    return K.cut_topics(fix_similarity(spark, sf), K.topic_sizes(fx.doc_topic(spark, sf)), NR_TOPICS)
+
+
+@query("reduce_topics", C.sql_fix_ctes(*SQL_CUT) + "\nSELECT docid, new_topic AS topic FROM doc_topic JOIN cut ON old_topic = topic")
 def q_reduce_topics(spark, sf):
-    """K7: topics merged down to 5 (smallest into most similar), documents mapped, renumbered by size."""
-    dt = fx.doc_topic(spark, sf)
-    plan = K.reduce_topics_plan(fix_similarity(spark, sf), K.topic_sizes(dt), 5)
-    return K.apply_plan(dt, plan)
+    """K7: topics of every document once the hierarchy is cut at 5 topics, numbered by size."""
+    return K.apply_plan(fx.doc_topic(spark, sf), topic_cut(spark, sf))
+
+
+@query("reduced_top_words", C.sql_fix_ctes(*SQL_CUT, f"""rc AS (SELECT new_topic AS topic, term, sum(n) AS n FROM tc JOIN cut ON old_topic = topic GROUP BY 1, 2),
+rk AS (SELECT term, sum(n) AS f FROM rc GROUP BY term HAVING count(*) <= (SELECT count(DISTINCT new_topic) FROM cut) * {C.MAX_DF}),
+rv AS (SELECT rc.*, rk.f FROM rc JOIN rk USING (term)),
+rw AS (SELECT topic, sum(n) AS words FROM rv GROUP BY topic),
+ra AS (SELECT floor(sum(n) / (SELECT count(DISTINCT new_topic) FROM cut)) AS a FROM rv),
+rs AS (SELECT rv.topic, rv.term, rv.n / rw.words * ln(1 + (SELECT a FROM ra) / rv.f) AS score FROM rv JOIN rw USING (topic)),
+rt AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM rs),
+rz AS (SELECT new_topic AS topic, count(*) AS size FROM doc_topic JOIN cut ON old_topic = topic GROUP BY 1)""") + f"""
+SELECT t.topic, z.size, CAST(t.rank AS INTEGER) AS rank, t.term, {sql_r6('t.score')} AS score FROM rt t JOIN rz z USING (topic) WHERE rank <= 10""")
+def q_reduced_top_words(spark, sf):
+    """K7 refitted: sizes and c-TF-IDF words of the 5 topics that are left, from the added counts of the old ones."""
+    plan = topic_cut(spark, sf)
+    counts = K.merged_counts(C.topic_term_counts(spark, sf), plan)
+    top = G.top_words(G.ctfidf(counts, plan.select(F.countDistinct("new_topic")).scalar(), max_df=C.MAX_DF), 10)
+    sizes = K.topic_sizes(K.apply_plan(fx.doc_topic(spark, sf), plan))
+    return top.join(sizes, "topic").select("topic", "size", F.col("rank").cast("int"), "term", r6(F.col("score")).alias("score"))
 
 
 @query("intertopic_map")
