@@ -100,3 +100,28 @@ def test_cut_topics_and_counts(spark):
     counts = spark.createDataFrame([(0, "a", 2), (1, "a", 3), (2, "b", 1), (-1, "a", 7)], "topic int, term string, n long")
     assert {tuple(r) for r in K.merged_counts(counts, plan).collect()} == {(1, "a", 5), (0, "b", 1), (-1, "a", 7)}
     assert {tuple(r) for r in K.cut_topics(sim, sizes, 0).collect()} == {(2, 0), (1, 1), (0, 2), (-1, -1)}
+
+
+def test_divergence_and_coordinates(spark):
+    """Against the dense formula; coordinates give back the distances of points in a plane."""
+    rng = np.random.default_rng(9)
+    p = rng.random((7, 40)) * (rng.random((7, 40)) < 0.3)
+    p[6] = 0
+    p[6, 39], p[:6, 39] = 1.0, 0  # shares no word with the others
+    p /= p.sum(1, keepdims=True)
+    phi = spark.createDataFrame([(t, f"w{w}", float(p[t, w])) for t, w in zip(*np.nonzero(p), strict=True) for t, w in [(int(t), int(w))]], "topic int, term string, phi double")
+
+    def js(a, b):
+        m = (a + b) / 2
+        part = lambda x: sum(x[i] * np.log(x[i] / m[i]) for i in range(len(x)) if x[i] > 0)
+        return (part(a) + part(b)) / 2
+
+    got = {(r["topic_a"], r["topic_b"]): r["divergence"] for r in K.topic_divergence(phi, blocks=3).collect()}
+    assert got.keys() == {(a, b) for a in range(7) for b in range(a + 1, 7)}
+    assert all(abs(got[a, b] - js(p[a], p[b])) < 1e-12 for a, b in got) and abs(got[0, 6] - np.log(2)) < 1e-12
+    at = rng.normal(size=(9, 2))
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    xy = K.principal_coordinates(d)
+    assert np.allclose(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2)), d)
+    assert xy[:, 0].var() >= xy[:, 1].var() and K.principal_coordinates(np.zeros((0, 0))).shape == (0, 2)
+    assert K.topic_coordinates(phi).count() == 7

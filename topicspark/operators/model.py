@@ -290,10 +290,70 @@ def apply_plan(doc_topic: DataFrame, plan: DataFrame) -> DataFrame:
                     F.coalesce(F.col("new_topic"), F.col("topic")).cast("int").alias("topic"))
 
 
-def intertopic_map(cent_long: DataFrame, sizes: DataFrame, dims: int) -> DataFrame:
-    """A4: 2-D topic coordinates (PCA of topic vectors) with topic sizes."""
-    per = cent_long.where(F.col("topic") != -1).groupBy("topic").agg(
-        F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    xy = reduce_2d(per.select("topic", vec.alias("embedding")), unit="topic")
-    return xy.join(sizes, "topic")
+def topic_divergence(phi: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(topic_a, topic_b, divergence), topic_a < topic_b: Jensen-Shannon divergence of the topics' words.
+
+    A sparse sum: a term adds to a pair only where both topics have it; what the
+    others add follows from the shared terms' shares, as each topic's sum to 1.
+    Blocks of terms are summed inside tasks, as in :func:`topic_similarity`.
+    """
+    spark = phi.sparkSession
+    if blocks is None:
+        n_terms = phi.select(F.countDistinct("term")).first()[0] or 0
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_terms // TERMS_PER_BLOCK))
+    s = phi.select("topic", "term", "phi", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"))
+
+    def block_sum(pdf: pd.DataFrame) -> pd.DataFrame:
+        topics, t = np.unique(pdf["topic"].to_numpy(), return_inverse=True)
+        terms, w = np.unique(pdf["term"].to_numpy(), return_inverse=True)
+        p = np.zeros((len(topics), len(terms)))
+        p[t, w] = pdf["phi"].to_numpy()
+        out = []
+        for i in range(len(topics) - 1):
+            own = np.flatnonzero(p[i])
+            a, b = p[i, own], p[i + 1:, own]
+            both = b > 0
+            half = (a + b) / 2
+            with np.errstate(all="ignore"):
+                gain = np.where(both, a * np.log(a / half) + b * np.log(b / half) - np.log(2.0) * (a + b), 0.0).sum(1)
+            near = np.flatnonzero(both.any(1))
+            out.append(pd.DataFrame({"topic_a": topics[i], "topic_b": topics[i + 1 + near], "gain": gain[near] / 2}))
+        return pd.concat(out) if out else pd.DataFrame({"topic_a": topics[:0], "topic_b": topics[:0], "gain": np.zeros(0)})
+
+    parts = s.groupBy("block").applyInPandas(block_sum, "topic_a int, topic_b int, gain double")
+    gains = parts.groupBy("topic_a", "topic_b").agg(F.sum("gain").alias("gain"))
+    topics = phi.select(F.col("topic").cast("int").alias("topic")).distinct()
+    # every pair of topics, for those that share no term: a topic-sized list in each topic's row
+    every = topics.select(F.col("topic").alias("topic_a"), topics.select(F.sort_array(F.collect_list("topic"))).scalar().alias("_all"))
+    pairs = every.select("topic_a", F.explode(F.filter("_all", lambda t: t > F.col("topic_a"))).alias("topic_b"))
+    total = F.lit(float(np.log(2.0))) + F.coalesce("gain", F.lit(0.0))
+    return pairs.join(gains, ["topic_a", "topic_b"], "left").select("topic_a", "topic_b", F.greatest(total, F.lit(0.0)).alias("divergence"))
+
+
+def principal_coordinates(distance: np.ndarray, axes: int = 2) -> np.ndarray:
+    """Classical scaling: coordinates on the axes of greatest variance; the largest entry of an axis is positive."""
+    k = len(distance)
+    centre = np.eye(k) - 1.0 / max(k, 1)
+    values, vectors = np.linalg.eigh(-0.5 * centre @ (distance ** 2) @ centre)
+    xy = np.zeros((k, axes))
+    for i in range(min(axes, k)):
+        v = vectors[:, -1 - i] * np.sqrt(max(values[-1 - i], 0.0))
+        xy[:, i] = -v if v[np.abs(v).argmax()] < 0 else v
+    return xy
+
+
+def topic_coordinates(phi: DataFrame) -> DataFrame:
+    """(topic, x, y): principal coordinates of the Jensen-Shannon divergences; at most MAX_TOPICS topics."""
+    topics = sorted(r[0] for r in phi.select("topic").distinct().limit(MAX_TOPICS + 1).collect())
+    if len(topics) > MAX_TOPICS:
+        raise ValueError(f"more than {MAX_TOPICS} topics: reduce topics first")
+    pos, d = {t: i for i, t in enumerate(topics)}, np.zeros((len(topics), len(topics)))
+    for a, b, v in topic_divergence(phi).collect():
+        d[pos[a], pos[b]] = d[pos[b], pos[a]] = v
+    xy = principal_coordinates(d)
+    return phi.sparkSession.createDataFrame([(int(t), float(x), float(y)) for t, (x, y) in zip(topics, xy, strict=True)], "topic int, x double, y double")
+
+
+def intertopic_map(phi: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A4: (topic, x, y, size) of all topics but the outliers."""
+    return topic_coordinates(phi.where(F.col("topic") != -1)).join(sizes, "topic")

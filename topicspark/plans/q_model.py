@@ -3,8 +3,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from topicspark.operators import analytics as A
 from topicspark.operators import ctfidf as G
 from topicspark.operators import density as D
 from topicspark.operators import encode as E
@@ -347,11 +349,73 @@ def q_reduced_top_words(spark, sf):
     return top.join(sizes, "topic").select("topic", "size", F.col("rank").cast("int"), "term", r6(F.col("score")).alias("score"))
 
 
-@query("intertopic_map")
+def sql_coordinates(phi, squarings=24):
+    """CTEs dist (a, b, d) and xy (topic, x, y) of phi (topic, term, phi): classical scaling in SQL.
+
+    The doubly centred matrix, shifted to be positive, is squared again and
+    again until one direction is left; that axis is taken out, then the next.
+    """
+    def power(name, matrix, tables):
+        out = [f"{name}0 AS MATERIALIZED (SELECT k, {matrix} AS m FROM {tables})"]
+        for i in range(squarings):
+            out += [f"""{name}q{i} AS MATERIALIZED (SELECT k, list_transform(m, lambda u: list_transform(range(k), lambda j: list_dot_product(u, m[j + 1]))) AS m FROM {name}{i})""",
+                    f"""{name}{i + 1} AS MATERIALIZED (SELECT k, list_transform(m, lambda u: list_transform(u, lambda z: z / list_max(list_transform(flatten(m), lambda y: abs(y))))) AS m FROM {name}q{i})"""]
+        last = f"{name}{squarings}"
+        return [*out, f"{name}c AS MATERIALIZED (SELECT list_transform(list_sort(list_transform(m, lambda u: {{'n': list_dot_product(u, u), 'u': u}}), 'DESC')[1].u, lambda z: z) AS v FROM {last})",
+                f"""{name}v AS MATERIALIZED (SELECT list_transform(v, lambda z: z / sqrt(list_dot_product(v, v)) * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END) AS v FROM {name}c)""",
+                f"""{name}e AS MATERIALIZED (SELECT v, list_dot_product(v, list_transform(sh.m, lambda u: list_dot_product(u, v))) AS e FROM {name}v, sh)"""]
+
+    return [f"""ph AS MATERIALIZED ({phi})""",
+            "tt AS MATERIALIZED (SELECT topic, row_number() OVER (ORDER BY topic) AS i FROM (SELECT DISTINCT topic FROM ph))",
+            """gain AS MATERIALIZED (SELECT x.topic AS a, y.topic AS b, sum(x.phi * ln(2 * x.phi / (x.phi + y.phi)) + y.phi * ln(2 * y.phi / (x.phi + y.phi)) - ln(2) * (x.phi + y.phi)) / 2 AS g
+  FROM ph x JOIN ph y ON x.term = y.term AND x.topic <> y.topic GROUP BY 1, 2)""",
+            """dist AS MATERIALIZED (SELECT x.topic AS a, y.topic AS b, x.i, y.i AS j, CASE WHEN x.topic = y.topic THEN 0 ELSE greatest(ln(2) + coalesce(g, 0), 0) END AS d
+  FROM tt x CROSS JOIN tt y LEFT JOIN gain ON gain.a = x.topic AND gain.b = y.topic)""",
+            "d2 AS (SELECT i, j, d * d AS d, avg(d * d) OVER (PARTITION BY i) AS r, avg(d * d) OVER (PARTITION BY j) AS c, avg(d * d) OVER () AS t FROM dist)",
+            "bm AS MATERIALIZED (SELECT list(u ORDER BY i) AS m, count(*) AS k FROM (SELECT i, list((r + c - d - t) / 2 ORDER BY j) AS u FROM d2 GROUP BY i))",
+            """sh AS MATERIALIZED (SELECT k, s, list_transform(m, lambda u, i: list_transform(u, lambda z, j: z + CASE WHEN i = j THEN s ELSE 0 END)) AS m
+  FROM (SELECT *, list_max(list_transform(m, lambda u: list_sum(list_transform(u, lambda z: abs(z))))) AS s FROM bm))""",
+            *power("p", "m", "sh"),
+            *power("o", "list_transform(m, lambda u, i: list_transform(u, lambda z, j: z - e * v[i] * v[j]))", "sh, pe"),
+            """xy AS (SELECT topic, pe.v[i] * sqrt(greatest(pe.e - s, 0)) AS x, oe.v[i] * sqrt(greatest(oe.e - s, 0)) AS y FROM tt, pe, oe, sh)"""]
+
+
+SQL_TERM_COUNTS = "tcall AS (SELECT dt.topic, t.term, count(*) AS n FROM toks t JOIN doc_topic dt USING (docid) GROUP BY 1, 2)"
+SQL_PHI_TOPICS = """SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS phi FROM tcall WHERE topic <> -1"""
+
+
+def given_phi(spark, sf):
+    return A.topic_term_phi(C.topic_term_counts(spark, sf).where(F.col("topic") != -1))
+
+
+@query("topic_divergence", with_ctes(fx.SQL_CORPUS, fx.SQL_DOC_TOPIC, C.SQL_TOKS, SQL_TERM_COUNTS, *sql_coordinates(SQL_PHI_TOPICS)[:4]) + f"""
+SELECT a AS topic_a, b AS topic_b, {sql_r6('d')} AS divergence FROM dist WHERE a < b""")
+def q_topic_divergence(spark, sf):
+    """Jensen-Shannon divergence of the word distributions of all pairs of topics."""
+    return K.topic_divergence(given_phi(spark, sf)).select("topic_a", "topic_b", r6(F.col("divergence")).alias("divergence"))
+
+
+@query("intertopic_map", with_ctes(fx.SQL_CORPUS, fx.SQL_DOC_TOPIC, C.SQL_TOKS, SQL_TERM_COUNTS, *sql_coordinates(SQL_PHI_TOPICS)) + f"""
+SELECT topic, {sql_r6('x')} AS x, {sql_r6('y')} AS y, (SELECT count(*) FROM doc_topic d WHERE d.topic = xy.topic) AS size FROM xy""")
 def q_intertopic_map(spark, sf):
-    """A4: 2-D map of the topics (PCA of topic centroids) with their sizes."""
-    dt = fx.doc_topic(spark, sf)
-    return K.intertopic_map(given_centroids(spark, sf), K.topic_sizes(dt), DIMS)
+    """A4: 2-D map of the topics (principal coordinates of their divergences) with their sizes."""
+    xy = K.intertopic_map(given_phi(spark, sf), K.topic_sizes(fx.doc_topic(spark, sf)))
+    return xy.select("topic", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "size")
+
+
+@query("ldavis_topics", with_ctes(fx.SQL_CORPUS, fx.SQL_DOC_TOPIC, C.SQL_TOKS, SQL_TERM_COUNTS, *sql_coordinates(SQL_PHI_TOPICS),
+                                  "w AS (SELECT topic, sum(n) AS n FROM tcall WHERE topic <> -1 GROUP BY topic)") + f"""
+SELECT topic, {sql_r6('x')} AS x, {sql_r6('y')} AS y, CAST(row_number() OVER (ORDER BY n DESC, topic) AS INTEGER) AS rank,
+       {sql_r6('n / (SELECT sum(n) FROM w)')} AS prevalence FROM xy JOIN w USING (topic)""")
+def q_ldavis_topics(spark, sf):
+    """Topic coordinates and prevalence (share of words), the topics' table of the browser."""
+    counts = C.topic_term_counts(spark, sf).where(F.col("topic") != -1)
+    xy = K.topic_coordinates(A.topic_term_phi(counts))
+    # a row a topic
+    w = counts.groupBy("topic").agg(F.sum("n").alias("n")).select("topic", F.row_number().over(Window.orderBy(F.desc("n"), "topic")).alias("rank"),
+                                                                  (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("prevalence"))
+    return xy.join(w, "topic").select("topic", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), F.col("rank").cast("int").alias("rank"),
+                                      r6(F.col("prevalence")).alias("prevalence"))
 
 
 @query("stratified_docs", sql_model_ctes(sql_x1()) + "\nSELECT topic, docid, rank FROM x1")
