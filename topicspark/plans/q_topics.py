@@ -27,6 +27,7 @@ def q_topic_top_words(spark, sf):
 
 # --- representations, labels, label files ----------------------------------------------
 
+import numpy as np  # noqa: E402
 import pandas as pd  # noqa: E402
 
 from topicspark.functions import tagging as TG  # noqa: E402
@@ -35,92 +36,106 @@ from topicspark.operators import encode as E  # noqa: E402
 from topicspark.operators import labels as L  # noqa: E402
 from topicspark.operators import model as K  # noqa: E402
 from topicspark.operators import sample as X  # noqa: E402
+from topicspark.operators.topk import top_k  # noqa: E402
 from topicspark.plans import fixtures as fx  # noqa: E402
 from topicspark.plans import q_model as QM  # noqa: E402
 from topicspark.session import materialize, scratch_path  # noqa: E402
 from topicspark.sources import files as S  # noqa: E402
 
-N_CAND = 30
-
 
 def _x1(spark, sf, nr=QM.NR_DOCS):
     return X.stratified_docs(QM.doc_weights(spark, sf), nr, "genre", QM.SEED)
 
 
-def keybert_scores(spark, sf):
-    """Candidates (top 30 c-TF-IDF words) scored by cosine of the word's E1 vector
-    to the mean E1 vector of the topic's representative documents."""
-    cand = G.top_words(C.fix_ctfidf(spark, sf), N_CAND).select("topic", "term")
+def keybert_scores(spark, sf, candidates: int | None = None):
+    """(topic, term, score, weight, dim, sign): cosine of the word's E1 vector to the mean E1 vector of the
+    topic's representative documents, and the word's c-TF-IDF weight.
+
+    All words of a topic are candidates, or its best ``candidates`` by weight.
+    A word has one signed dimension, so a topic's words share 2 x 64 scores; words of equal score go by weight.
+    """
+    cand = C.fix_ctfidf(spark, sf) if candidates is None else G.top_words(C.fix_ctfidf(spark, sf), candidates)
     rep = _x1(spark, sf).select("docid", "topic")
     tv = K.topic_centroids(QM.doc_vectors(spark, sf), rep)
     norms = tv.groupBy("topic").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
     dim, sign = E.term_dim("term")
-    c = cand.select("topic", "term", dim.alias("dim"), sign.alias("_sign"))
+    c = cand.select("topic", "term", F.col("score").alias("weight"), dim.alias("dim"), sign.alias("sign"))
     j = c.join(tv, ["topic", "dim"], "left").join(norms, "topic", "left")
-    sim = F.try_divide(F.col("_sign") * F.coalesce(F.col("value"), F.lit(0.0)), F.col("_norm"))
-    return j.select("topic", "term", F.coalesce(sim, F.lit(0.0)).alias("score"))
+    sim = F.try_divide(F.col("sign") * F.coalesce(F.col("value"), F.lit(0.0)), F.col("_norm"))
+    return j.select("topic", "term", F.coalesce(sim, F.lit(0.0)).alias("score"), "weight", "dim", "sign")
+
+
+def keybert_words(kb, n: int = 10):
+    """The n best words of each topic by (score, weight, term)."""
+    return top_k(kb, ["topic"], [F.desc(F.floor(F.col("score") * 1e9 + 0.5)), F.desc("weight"), F.asc("term")], n, salt_col="term")
 
 
-SQL_KEYBERT = f"""cand AS (SELECT topic, term FROM (
-   SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS r FROM ctfidf) WHERE r <= {N_CAND}),
-repd AS (SELECT docid, topic FROM x1),
+SQL_KEYBERT = f"""repd AS (SELECT docid, topic FROM x1),
 rsize AS (SELECT topic, count(*) AS m FROM repd WHERE docid IN (SELECT docid FROM e1) GROUP BY topic),
 tvec AS (SELECT topic, dim, sum(value) / any_value(m) AS value FROM e1 JOIN repd USING (docid) JOIN rsize USING (topic) GROUP BY topic, dim),
 tnorm AS (SELECT topic, sqrt(sum(value * value)) AS norm FROM tvec GROUP BY topic),
-kb AS (SELECT c.topic, c.term,
-         coalesce(CASE WHEN n.norm > 0 THEN {QM.SQL_TERMSIGN.replace('term', 'c.term')} * coalesce(v.value, 0.0) / n.norm END, 0.0) AS score
-       FROM cand c LEFT JOIN tvec v ON v.topic = c.topic AND v.dim = {QM.SQL_TERMDIM.replace('term', 'c.term')}
-       LEFT JOIN tnorm n ON n.topic = c.topic)"""
+kw AS (SELECT topic, term, score AS weight, {QM.SQL_TERMDIM} AS dim, {QM.SQL_TERMSIGN} AS sign FROM ctfidf),
+kb AS (SELECT c.*, coalesce(CASE WHEN n.norm > 0 THEN c.sign * coalesce(v.value, 0.0) / n.norm END, 0.0) AS score
+       FROM kw c LEFT JOIN tvec v ON v.topic = c.topic AND v.dim = c.dim LEFT JOIN tnorm n ON n.topic = c.topic),
+kbr AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY floor(score * 1e9 + 0.5) DESC, weight DESC, term) AS rank FROM kb)"""
 
 SQL_KB_CTES = QM.sql_model_ctes(QM.sql_x1(), C.SQL_TOKS, C.SQL_CTFIDF, QM.SQL_E1, SQL_KEYBERT)
 
 
 @query("rep_keybert", SQL_KB_CTES + f"""
-SELECT topic, CAST(rank AS INTEGER) AS rank, term, {sql_r6('score')} AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM kb) WHERE rank <= 10""")
+SELECT topic, CAST(rank AS INTEGER) AS rank, term, {sql_r6('score')} AS score FROM kbr WHERE rank <= 10""")
 def q_rep_keybert(spark, sf):
-    """Keywords re-ranked by similarity to the topic's representative documents."""
-    kb = keybert_scores(spark, sf)
-    top = G.top_words(kb, 10)
+    """All words of each topic ranked by similarity to its representative documents; the 10 best."""
+    top = keybert_words(keybert_scores(spark, sf), 10)
     return top.select("topic", "rank", "term", r6(F.col("score")).alias("score"))
 
 
 def mmr_select(scores, n: int = 10, diversity: float = 0.5):
-    """Greedy maximal marginal relevance per topic over its candidates.
+    """Greedy maximal marginal relevance per topic over its candidates (topic, term, score, weight, dim, sign).
 
     Word-word similarity is the cosine of the words' E1 vectors (one signed
-    dimension each).  Candidates per topic are bounded (top 30), so each
-    topic's selection runs in one small pandas group.
+    dimension each).  Words of one dimension and sign have one relevance and
+    one redundancy, so the best ``n`` of them by (weight, term) are all that can
+    be chosen: a topic's selection sees at most n x 128 rows, whatever its words.
     """
-    dim, sign = E.term_dim("term")
-    s = scores.select("topic", "term", F.col("score").cast("double").alias("rel"), dim.alias("dim"), sign.alias("sign"))
+    best = top_k(scores, ["topic", "dim", "sign"], [F.desc("weight"), F.asc("term")], n, salt_col="term").drop("rank")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("term").reset_index(drop=True)
-        chosen, rows = [], []
-        remaining = list(range(len(pdf)))
-        while remaining and len(chosen) < n:
-            best, best_v = None, None
-            for i in remaining:
-                if chosen:
-                    red = max((pdf.sign[i] * pdf.sign[j]) if pdf.dim[i] == pdf.dim[j] else 0.0 for j in chosen)
-                    v = (1 - diversity) * pdf.rel[i] - diversity * red
-                else:
-                    v = pdf.rel[i]
-                if best_v is None or v > best_v + 1e-12:
-                    best, best_v = i, v
-            chosen.append(best)
-            remaining.remove(best)
-            rows.append((int(pdf.topic[best]), len(chosen), pdf.term[best], float(best_v)))
+        pdf = pdf.sort_values(["weight", "term"], ascending=[False, True])
+        rel, dim, sign = pdf["score"].to_numpy(float), pdf["dim"].to_numpy(), pdf["sign"].to_numpy(float)
+        free, redundancy, rows = np.ones(len(pdf), bool), np.full(len(pdf), -np.inf), []
+        while free.any() and len(rows) < n:
+            value = (1 - diversity) * rel - diversity * redundancy if rows else rel
+            at = int(np.where(free, np.floor(value * 1e9 + 0.5), -np.inf).argmax())
+            rows.append((int(pdf["topic"].iloc[at]), len(rows) + 1, pdf["term"].iloc[at], float(value[at])))
+            free[at] = False
+            redundancy = np.maximum(redundancy, np.where(dim == dim[at], sign * sign[at], 0.0))
         return pd.DataFrame(rows, columns=["topic", "rank", "term", "score"])
 
-    return s.groupBy("topic").applyInPandas(pick, "topic int, rank int, term string, score double")
+    return best.groupBy("topic").applyInPandas(pick, "topic int, rank int, term string, score double")
+
+
+def sql_mmr(n=10, diversity=0.5):
+    """CTE mmr (topic, rank, term, score): one word after the other."""
+    out = []
+    for s in range(n):
+        value = "b.score" if s == 0 else f"{1 - diversity} * b.score - {diversity} * r.red"
+        red = "" if s == 0 else f"""JOIN (SELECT b.topic, b.term, max(CASE WHEN b.dim = p.dim THEN b.sign * p.sign ELSE 0 END) AS red
+    FROM mb b JOIN pick{s - 1} p ON p.topic = b.topic GROUP BY 1, 2) r ON r.topic = b.topic AND r.term = b.term
+  WHERE NOT EXISTS (SELECT 1 FROM pick{s - 1} p WHERE p.topic = b.topic AND p.term = b.term)"""
+        before = "" if s == 0 else f"SELECT * FROM pick{s - 1} UNION ALL "
+        out.append(f"""pick{s} AS MATERIALIZED ({before}SELECT topic, term, dim, sign, {s + 1} AS rank, v AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY floor(v * 1e9 + 0.5) DESC, weight DESC, term) AS o
+  FROM (SELECT b.topic, b.term, b.dim, b.sign, b.weight, {value} AS v FROM mb b {red})) WHERE o = 1)""")
+    return ["mb AS MATERIALIZED (SELECT * FROM kb)", *out, f"mmr AS (SELECT topic, rank, term, score FROM pick{n - 1})"]
 
 
-@query("rep_mmr")
+@query("rep_mmr", SQL_KB_CTES + ",\n" + ",\n".join(sql_mmr()) + f"""
+SELECT topic, CAST(rank AS INTEGER) AS rank, term, {sql_r6('score')} AS score FROM mmr""")
 def q_rep_mmr(spark, sf):
-    """10 diverse keywords per topic by maximal marginal relevance (diversity 0.5)."""
-    return mmr_select(keybert_scores(spark, sf), 10, 0.5)
+    """10 diverse keywords per topic by maximal marginal relevance (diversity 0.5) over all its words."""
+    m = mmr_select(keybert_scores(spark, sf), 10, 0.5)
+    return m.select("topic", "rank", "term", r6(F.col("score")).alias("score"))
 
 
 def pos_scores(spark, sf):
@@ -149,15 +164,14 @@ def q_rep_pos(spark, sf):
 
 def aspects_table(spark, sf):
     main = C.fix_top_words(spark, sf).select(F.lit("Main").alias("aspect"), "topic", "rank", "term", "score")
-    kb = G.top_words(keybert_scores(spark, sf), 10).select(F.lit("KeyBERT").alias("aspect"), "topic", "rank", "term", "score")
+    kb = keybert_words(keybert_scores(spark, sf), 10).select(F.lit("KeyBERT").alias("aspect"), "topic", "rank", "term", "score")
     pos = G.top_words(pos_scores(spark, sf), 10).select(F.lit("POS").alias("aspect"), "topic", "rank", "term", "score")
     return main.unionByName(kb).unionByName(pos)
 
 
 SQL_ASPECTS = """asp AS (
   SELECT 'Main' AS aspect, topic, rank, term, score FROM topw
-  UNION ALL SELECT 'KeyBERT', topic, rank, term, score FROM (
-    SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM kb) WHERE rank <= 10
+  UNION ALL SELECT 'KeyBERT', topic, rank, term, score FROM kbr WHERE rank <= 10
   UNION ALL SELECT 'POS', topic, rank, term, score FROM (
     SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM posw) WHERE rank <= 10),
 pairs AS (SELECT a.aspect, t.topic FROM (VALUES ('Main'), ('KeyBERT'), ('POS')) a(aspect), (SELECT DISTINCT topic FROM doc_topic) t),
