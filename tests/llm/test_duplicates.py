@@ -248,3 +248,18 @@ def test_long_words_that_polynomials_confuse(spark):
     assert removed == {1: 0, 2: 0, 3: 0, 4: 0}
     linked = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs, 3, 90).collect()}
     assert linked[3] == 3 and linked[4] == 4
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like the helpers' own, in any case, come back whole."""
+    names = ["__sha", "__KEEP", "__keep_sha", "__body", "__id", "__text", "__gone"]
+    rng = random.Random(5)
+    body = words(rng, 40)
+    rows = [(1, body), (2, body), (2, body), (3, body + " more"), (4, words(rng, 40)), (5, None), (None, body), (None, "x")]
+    docs = spark.createDataFrame([(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(rows)], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    plain = docs.select("doc_id", "text")
+    for stage in (exact_dedup.deduplicate, ngram_join.keep_one):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        assert all(r[n] == f"{n}{r['__sha'].removeprefix('__sha')}" for r in got.collect() for n in names)
+        assert by_key(got.select("doc_id", "text").collect()) == by_key(stage(plain).collect())

@@ -45,3 +45,14 @@ def bounded(batches: Iterable[pa.RecordBatch], column: str, most: int = 16 << 20
         step = max(1, -(-rows // parts))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Each name, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -20,7 +20,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import WHITE, texts
+from topicspark.llm.common import WHITE, free_names, texts
 from topicspark.session import materialize, scratch_path
 
 STATE_CONF = {
@@ -116,7 +116,8 @@ def dedup_report(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one row per kept document."""
-    kept = dedup_report(docs).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__keep_sha"))
-    marked = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
-    same = marked["doc_id"].cast("bigint").eqNullSafe(F.col("__keep")) & (marked["__sha"] == F.col("__keep_sha"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    sha, keep, keep_sha = free_names(docs, "__sha", "__keep", "__keep_sha")
+    kept = dedup_report(docs).filter("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(keep_sha))
+    marked = docs.withColumn(sha, F.sha2(normalised(F.col("text")), 256))
+    same = marked["doc_id"].cast("bigint").eqNullSafe(F.col(keep)) & (marked[sha] == F.col(keep_sha))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import bounded, texts
+from topicspark.llm.common import bounded, free_names, texts
 from topicspark.llm.components import connected_components
 from topicspark.llm.rolling import BASES, Words, mix, rolling
 from topicspark.session import materialize
@@ -242,9 +242,10 @@ def keep_one(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     named = least.groupBy("component").agg(F.min("rep").alias("keep"))
     names = least.join(named, "component").select("cid", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = known.withColumn("salt", F.pmod(F.hash("me"), F.lit(SALTS))).join(names, ["cid", "salt"])
-    marks = rows.groupBy("me").agg(F.count("*").alias("n"), F.first(F.col("me") != F.col("keep")).alias("__gone")).filter("__gone OR n > 1")
-    marks = materialize(marks.select(F.col("me.doc_id").alias("__id"), F.col("me.body").alias("__text"), "__gone"), "near-copies")
-    marked = docs.withColumn("__body", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    same = (marked["doc_id"].cast("bigint") == F.col("__id")) & (marked["__body"] == F.col("__text"))
-    again = marked.join(marks.filter("NOT __gone"), same, "left_semi").dropDuplicates(["doc_id", "__body"])  # the kept row, more than once
-    return marked.join(marks, same, "left_anti").unionAll(again).drop("__body")
+    key, at, text, gone = free_names(docs, "__body", "__id", "__text", "__gone")
+    marks = rows.groupBy("me").agg(F.count("*").alias("n"), F.first(F.col("me") != F.col("keep")).alias(gone)).filter(F.col(gone) | (F.col("n") > 1))
+    marks = materialize(marks.select(F.col("me.doc_id").alias(at), F.col("me.body").alias(text), gone), "near-copies")
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    same = (marked["doc_id"].cast("bigint") == F.col(at)) & (marked[key] == F.col(text))
+    again = marked.join(marks.filter(~F.col(gone)), same, "left_semi").dropDuplicates(["doc_id", key])  # the kept row, more than once
+    return marked.join(marks, same, "left_anti").unionAll(again).drop(key)

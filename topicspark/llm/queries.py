@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op5_exact_dedup", r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
-SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+SELECT DISTINCT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY body)
 """)
