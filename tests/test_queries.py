@@ -15,7 +15,8 @@ FAST = ["topic_top_words", "ctfidf", "code_frequencies", "is_katakana_sentence",
         "pos_filter", "chunk_paragraphs", "chunk_paragraphs_ja", "chunk_sentences", "meta_left_join", "corpus_metrics",
         "length_box", "topic_probs", "stratified_docs", "embed_docs", "assign_new", "topic_similarity",
         "topics_per_class", "find_topics", "approx_distribution", "token_topics", "dictionary_extremes", "doc2bow",
-        "generate_labels", "labels_import", "corpus_fingerprint", "load_run", "transpose_topics", "rep_keybert"]
+        "generate_labels", "labels_import", "corpus_fingerprint", "load_run", "transpose_topics", "rep_keybert", "rep_mmr",
+        "knn_graph", "topic_hierarchy", "reduced_top_words", "ldavis_topics"]
 
 
 def _norm(v):
@@ -59,3 +60,18 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     assert _rows(df.columns, srows) == _rows(dcols, res.fetchall())
+
+
+def test_new_texts_of_any_kind_match_oracle(spark, tmp_path):
+    """assign_new on turns that are null, empty, unknown or repeated: a row each, as in SQL."""
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        odd = "" if t != "conversations" else """ UNION ALL SELECT * FROM (VALUES (900001, 0, 'user', NULL), (900001, 1, 'user', ''), (900002, 0, 'user', 'zzqqxx yyvvkk'),
+          (900003, 0, 'user', '...'))"""
+        con.execute(f"COPY (SELECT * FROM read_parquet('{SF}/{t}.parquet'){odd}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    df = E.queries()["assign_new"](spark, str(tmp_path))
+    res = con.execute(E.oracle_sql()["assign_new"])
+    got = _rows(df.columns, [tuple(r) for r in df.collect()])
+    assert got == _rows([d[0] for d in res.description], res.fetchall())
+    assert df.where("conv_id > 900000 AND topic = -1").count() == 4

@@ -212,7 +212,7 @@ def _conv_vectors(spark, sf):
 @query("assign_new", with_ctes(fx.SQL_CORPUS, fx.SQL_DOC_TOPIC, C.SQL_TOKS, SQL_E1, SQL_NEW_TEXT) + f"""
 SELECT conv_id, turn, CAST(CASE WHEN max(sim) >= 0 THEN arg_max(topic, sim) ELSE -1 END AS INTEGER) AS topic,
        {sql_r6('max(sim)')} AS similarity
-FROM csims GROUP BY conv_id, turn""")
+FROM (SELECT DISTINCT conv_id, turn FROM conversations) LEFT JOIN csims USING (conv_id, turn) GROUP BY conv_id, turn""")
 def q_assign_new(spark, sf):
     """K8: topic of every conversation turn (new text) by cosine of its E1 vector to the topic vectors."""
     a = K.assign_new(_conv_vectors(spark, sf), _topic_vectors_e1(spark, sf), ["conv_id", "turn"])
@@ -446,7 +446,7 @@ def q_sample_per_topic(spark, sf):
 @query("stream_assign", with_ctes(fx.SQL_CORPUS, fx.SQL_DOC_TOPIC, C.SQL_TOKS, SQL_E1, SQL_NEW_TEXT) + f"""
 SELECT conv_id, turn, CAST(CASE WHEN max(sim) >= 0 THEN arg_max(topic, sim) ELSE -1 END AS INTEGER) AS topic,
        {sql_r6('max(sim)')} AS similarity
-FROM csims GROUP BY conv_id, turn""")
+FROM (SELECT DISTINCT conv_id, turn FROM conversations) LEFT JOIN csims USING (conv_id, turn) GROUP BY conv_id, turn""")
 def q_stream_assign(spark, sf):
     """K8 as a Structured Streaming job: conversation turns arrive as 4 Parquet files, one file
     per micro-batch; every batch is assigned to topics; the result is the union of the batch outputs."""
