@@ -100,3 +100,16 @@ def test_aspect_fill(spark):
     topics = spark.createDataFrame([(0,), (1,), (2,)], "topic int")
     got = sorted((r["aspect"], r["topic"], r["term"], r["score"]) for r in L.aspect_fill(asp, main, topics, ["Main", "POS"]).collect())
     assert got == [("Main", 0, "a", 0.5), ("Main", 1, "z", 1.0), ("POS", 0, "a", 1.0), ("POS", 1, "z", 1.0)]
+
+
+def test_labeler_by_rule_and_fallback(spark):
+    """The rule-based labeler reads the keywords of the prompt; a topic without a long one falls back."""
+    top = spark.createDataFrame([(0, 1, "ab"), (0, 2, "landscape"), (0, 3, "mountains"), (1, 1, "sea"), (1, 2, "sky"), (-1, 1, "odds")], "topic int, rank int, term string")
+    docs = spark.createDataFrame([(0, 7, ["described", "by"]), (1, 8, ["x"])], "topic int, docid long, tokens array<string>")
+    prompts = L.llm_prompt_table(docs, top)
+    suggested = L.labeler("longest_keyword")(prompts)
+    assert {tuple(r) for r in suggested.collect()} == {(0, "landscape"), (1, ""), (-1, "")}
+    labels = {tuple(r) for r in L.label_fallback(suggested, top).collect()}
+    assert labels == {(0, "0: landscape"), (1, "1: sea_sky"), (-1, "-1: odds")}
+    with pytest.raises(ValueError, match="longest_keyword"):
+        L.labeler("none")

@@ -52,9 +52,16 @@ def doc_topic_profile(probs: DataFrame, min_probability: float = 0.0) -> DataFra
     return p.withColumn("rank", F.row_number().over(w))
 
 
-def author_topic_mean(dense_probs: DataFrame, authors: DataFrame) -> DataFrame:
-    """Mean topic probability per author (dense probabilities, zeros included)."""
-    return (dense_probs.join(authors, "docid").groupBy("author", "topic").agg(F.avg("prob").alias("mean_prob")))
+def author_topic_mean(probs: DataFrame, authors: DataFrame, topics: DataFrame) -> DataFrame:
+    """Mean topic probability per author over all their documents, a topic a document lacks counting 0.
+
+    The sum over the sparse rows (docid, topic, prob) by the number of documents
+    in ``authors`` (docid, author); nothing is made dense but the result.
+    """
+    sums = probs.join(authors, "docid").groupBy("author", "topic").agg(F.sum("prob").alias("_s"))
+    every = topics.select(F.sort_array(F.collect_set("topic"))).scalar()  # K values
+    docs = authors.groupBy("author").agg(F.count(F.lit(1)).alias("_n")).withColumn("_t", every).select("author", "_n", F.explode("_t").alias("topic"))
+    return docs.join(sums, ["author", "topic"], "left").select("author", "topic", (F.coalesce("_s", F.lit(0.0)) / F.col("_n")).alias("mean_prob"))
 
 
 def topic_term_phi(counts: DataFrame) -> DataFrame:

@@ -134,9 +134,21 @@ def register_labeler(name: str, fn: Callable) -> None:
 
 
 def labeler(name: str) -> Callable:
+    if name not in _LABELERS:
+        raise ValueError(f"no labeler {name!r}; registered: {', '.join(sorted(_LABELERS))}")
     return _LABELERS[name]
 
 
+def longest_keyword(prompts: DataFrame, least: int = 8) -> DataFrame:
+    """A labeler by rule: the longest keyword of a prompt (ties: the first), or '' where none has ``least`` letters."""
+    words = F.split(F.regexp_extract("prompt", r"described by the following keywords: ([^\n]*)", 1), ", ")
+    best = F.aggregate(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    return prompts.select("topic", F.when(F.length(best) >= least, best).otherwise("").alias("suggestion"))
+
+
+register_labeler("longest_keyword", longest_keyword)
+
+
 def topic_info(doc_topic: DataFrame, top_words: DataFrame, custom: DataFrame | None = None,
                aspects: DataFrame | None = None, nr_words: int = 3) -> DataFrame:
     """Topic, count, name, custom_name and (optionally) one word list per aspect."""

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from topicspark.functions import text as T
@@ -160,8 +161,8 @@ SELECT c.author, d.topic, {sql_r6('avg(d.prob)')} AS mean_prob FROM dense d JOIN
 def q_author_topic_mean(spark, sf):
     """Mean topic probability of every author over their documents."""
     topics = fx.doc_topic(spark, sf).where(F.col("topic") != -1)
-    dense = M.pivot_dense(QM.given_probs(spark, sf), fx.doc_embedding(spark, sf), topics)
-    m = A.author_topic_mean(dense, fx.corpus(spark, sf).select("docid", "author"))
+    authors = fx.corpus(spark, sf).select("docid", "author").join(fx.doc_embedding(spark, sf).select("docid"), "docid", "left_semi")
+    m = A.author_topic_mean(QM.given_probs(spark, sf), authors, topics)
     return m.select("author", "topic", r6(F.col("mean_prob")).alias("mean_prob"))
 
 
@@ -185,7 +186,7 @@ def q_ldavis_tables(spark, sf):
     """The 10 most relevant terms of every topic at lambda 0.6 (prevalence = share of words)."""
     phi, counts = _phi(spark, sf)
     w = counts.groupBy("topic").agg(F.sum("n").alias("_w"))
-    prev = w.select("topic", (F.col("_w") / F.sum("_w").over(__import__("pyspark.sql").sql.Window.partitionBy())).alias("prevalence"))
+    prev = w.select("topic", (F.col("_w") / F.sum("_w").over(Window.partitionBy())).alias("prevalence"))
     r = A.ldavis_relevance(phi, prev, 0.6, 10)
     return r.select("topic", F.col("rank").cast("int"), "term", r6(F.col("relevance")).alias("relevance"))
 
@@ -201,7 +202,7 @@ def q_ldavis_saliency(spark, sf):
     """Saliency of every term."""
     phi, counts = _phi(spark, sf)
     w = counts.groupBy("topic").agg(F.sum("n").alias("_w"))
-    prev = w.select("topic", (F.col("_w") / F.sum("_w").over(__import__("pyspark.sql").sql.Window.partitionBy())).alias("prevalence"))
+    prev = w.select("topic", (F.col("_w") / F.sum("_w").over(Window.partitionBy())).alias("prevalence"))
     return A.ldavis_saliency(phi, prev).select("term", r6(F.col("saliency")).alias("saliency"))
 
 

@@ -243,20 +243,14 @@ def q_generate_labels(spark, sf):
     return L.generate_labels(C.fix_top_words(spark, sf), 3, fx.doc_topic(spark, sf))
 
 
-def _no_labeler(prompts):
-    """The label model is not installed: every suggestion is missing."""
-    return prompts.select("topic", F.lit(None).cast("string").alias("suggestion"))
-
-
-L.register_labeler("none", _no_labeler)
-
-
-@query("label_fallback", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_LABELS) + "\nSELECT topic, label FROM lab3")
+@query("label_fallback", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_LABELS) + """,
+sug AS (SELECT topic, arg_min(term, (-length(term), rank)) AS s FROM topw GROUP BY topic HAVING max(length(term)) >= 8)
+SELECT topic, coalesce(CAST(topic AS VARCHAR) || ': ' || s, label) AS label FROM lab3 LEFT JOIN sug USING (topic)""")
 def q_label_fallback(spark, sf):
-    """Labeler suggestions with the 3-word fallback (no label model installed: all fall back)."""
+    """Suggestions of the rule-based labeler on the prompts, the 3-word label where it has none."""
     top = C.fix_top_words(spark, sf)
-    sugg = L.labeler("none")(top.select("topic").distinct())
-    return L.label_fallback(sugg, top, fx.doc_topic(spark, sf))
+    prompts = L.llm_prompt_table(_x1(spark, sf, 8).join(C.doc_tokens(spark, sf), "docid").select("topic", "docid", "tokens"), top, "English")
+    return L.label_fallback(L.labeler("longest_keyword")(prompts), top, fx.doc_topic(spark, sf))
 
 
 def _custom_edits(spark, sf):
@@ -287,18 +281,20 @@ def q_topic_label_map(spark, sf):
     return L.topic_label_map(info)
 
 
-@query("topic_info", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_LABELS) + """,
+@query("topic_info", SQL_ASPECT_CTES + ",\n" + SQL_LABELS + """,
 sizes AS (SELECT topic, count(*) AS count FROM doc_topic GROUP BY topic),
-mw AS (SELECT topic, string_agg(term, ',' ORDER BY rank) AS main FROM topw GROUP BY topic)
-SELECT s.topic, s.count, n.name, c.custom_label AS custom_name, mw.main
-FROM sizes s LEFT JOIN names n USING (topic) LEFT JOIN custom c USING (topic) LEFT JOIN mw USING (topic)""")
+reps AS (SELECT topic, string_agg(CASE WHEN aspect = 'Main' THEN term END, ',' ORDER BY rank) AS main,
+                string_agg(CASE WHEN aspect = 'KeyBERT' THEN term END, ',' ORDER BY rank) AS keybert,
+                string_agg(CASE WHEN aspect = 'POS' THEN term END, ',' ORDER BY rank) AS pos FROM asp GROUP BY topic)
+SELECT s.topic, s.count, n.name, c.custom_label AS custom_name, r.main, r.keybert, r.pos
+FROM sizes s LEFT JOIN names n USING (topic) LEFT JOIN custom c USING (topic) LEFT JOIN reps r USING (topic)""")
 def q_topic_info(spark, sf):
-    """Topic, count, name, custom name and main words of every topic."""
+    """Topic, count, name, custom name and the words of every aspect of every topic."""
     top = C.fix_top_words(spark, sf)
     custom = L.custom_label_overlay(top.select("topic").distinct(), _custom_edits(spark, sf))
-    asp = top.select(F.lit("Main").alias("aspect"), "topic", "rank", "term")
-    info = L.topic_info(fx.doc_topic(spark, sf), top, custom, asp)
-    return info.select("topic", "count", "name", "custom_name", F.array_join(F.col("representation")["Main"], ",").alias("main"))
+    info = L.topic_info(fx.doc_topic(spark, sf), top, custom, aspects_table(spark, sf))
+    words = F.col("representation")
+    return info.select("topic", "count", "name", "custom_name", *[F.array_join(words[a], ",").alias(a.lower()) for a in ("Main", "KeyBERT", "POS")])
 
 
 @query("labels_export", C.sql_fix_ctes(C.SQL_TOPWORDS, SQL_LABELS) + """
