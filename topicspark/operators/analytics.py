@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from topicspark.operators.topk import top_k
 
 
-def topics_per_class(tokens: DataFrame, doc_topic: DataFrame, classes: DataFrame, scores: DataFrame,
+def topics_per_class(class_counts: DataFrame, doc_topic: DataFrame, classes: DataFrame, scores: DataFrame,
                      class_col: str = "class", n_words: int = 5) -> DataFrame:
     """A1: per (class, topic): frequency (documents), share of the class, top words.
 
+    ``class_counts`` is (class, topic, term, n): a frequent term meets its idf once per (class, topic), not once per token.
     score(class, topic, term) = tf * ln(1 + A / f(term)) with A, f of the global
     c-TF-IDF (its kept vocabulary); tf = count / words of the (class, topic).
     """
@@ -24,9 +25,7 @@ def topics_per_class(tokens: DataFrame, doc_topic: DataFrame, classes: DataFrame
     dc = doc_topic.join(classes, "docid")
     freq = dc.groupBy(class_col, "topic").agg(F.count(F.lit(1)).alias("frequency"))
     per_class = dc.groupBy(class_col).agg(F.count(F.lit(1)).alias("_ndocs"))
-    # counted before the join: a frequent term meets its idf once per (class, topic), not once per token
-    counts = (tokens.join(dc, "docid").select(class_col, "topic", F.explode("tokens").alias("term"))
-              .groupBy(class_col, "topic", "term").agg(F.count(F.lit(1)).alias("n")).join(idf, "term"))
+    counts = class_counts.join(idf, "term")
     tot = counts.groupBy(class_col, "topic").agg(F.sum("n").alias("_w"))
     sc = counts.join(tot, [class_col, "topic"]).select(class_col, "topic", "term",
                                                         (F.col("n") / F.col("_w") * F.col("_idf")).alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from topicspark.functions import text as T
 from topicspark.operators import analytics as A
+from topicspark.operators import ctfidf as G
 from topicspark.operators import encode as E
 from topicspark.operators import labels as L
 from topicspark.operators import metadata as M
@@ -18,6 +19,7 @@ from topicspark.plans import fixtures as fx
 from topicspark.plans import q_model as QM
 from topicspark.plans.catalog import query, with_ctes
 from topicspark.plans.fixtures import r6, sql_r6
+from topicspark.session import materialize
 from topicspark.sources.tables import table
 
 WIN = 4
@@ -87,7 +89,10 @@ FROM cfreq f JOIN pc USING (class) LEFT JOIN cwords w USING (class, topic)""")
 def q_topics_per_class(spark, sf):
     """A1: frequency, share and top 5 words of every topic within every genre."""
     classes = fx.corpus(spark, sf).select("docid", F.col("genre").alias("class"))
-    t = A.topics_per_class(C.doc_tokens(spark, sf), fx.doc_topic(spark, sf), classes, C.fix_ctfidf(spark, sf), "class", 5)
+    # the texts are counted once; the counts by topic are sums of those by class
+    counts = materialize(G.topic_term_counts(C.doc_tokens(spark, sf), fx.doc_topic(spark, sf).join(classes, "docid"), class_cols=("class", "topic")), "class-counts")
+    scores = G.ctfidf(counts.groupBy("topic", "term").agg(F.sum("n").alias("n")), C.n_topics(spark, sf), max_df=C.MAX_DF)
+    t = A.topics_per_class(counts, fx.doc_topic(spark, sf), classes, scores, "class", 5)
     return t.select("class", "topic", "frequency", r6(F.col("share")).alias("share"), F.array_join("words", ",").alias("words"))
 
 
