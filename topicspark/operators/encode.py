@@ -77,6 +77,24 @@ def encoder(name: str) -> Callable:
     return _ENCODERS[name]
 
 
+def has_encoder(name: str) -> bool:
+    return name in _ENCODERS
+
+
+def hashed(texts: DataFrame) -> DataFrame:
+    """The default encoder: (docid, text) -> (docid, embedding), term statistics from the texts themselves.
+
+    A text without a letter or digit has no row.
+    """
+    from topicspark.functions import text as T
+    from topicspark.operators import vectorize as V
+    counts = V.term_counts(texts.select("docid", T.tokenize_word("text").alias("tokens")), "docid")
+    return to_dense(hash_encode(counts, fit_idf(counts)))
+
+
+register_encoder("hashed", hashed)
+
+
 def with_prefix(text_col, model_name: str, prefix: str = "トピック: "):
     """Prefix the reference adds for one family of Japanese encoders (name contains 'ruri')."""
     c = F.col(text_col) if isinstance(text_col, str) else text_col

@@ -30,6 +30,7 @@ def q_topic_top_words(spark, sf):
 import numpy as np  # noqa: E402
 import pandas as pd  # noqa: E402
 
+from topicspark.fitted import fit_topics, preset  # noqa: E402
 from topicspark.functions import tagging as TG  # noqa: E402
 from topicspark.operators import ctfidf as G  # noqa: E402
 from topicspark.operators import encode as E  # noqa: E402
@@ -317,3 +318,10 @@ def q_labels_import(spark, sf):
     top = C.fix_top_words(spark, sf)
     S.export_labels(L.generate_labels(top, 1), path)
     return S.import_labels(spark, path, L.generate_labels(top, 3))
+
+
+@query("fitted_topics")
+def q_fitted_topics(spark, sf):
+    """All documents in one fit: chunks, vectors, density topics, reduction to 20, words and labels of every topic."""
+    docs = fx.corpus(spark, sf).select("filename", "title", "text")
+    return fit_topics(docs, preset("English (full)", min_chunksize=0, nr_topics=20)).info()
