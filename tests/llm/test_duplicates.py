@@ -4,6 +4,9 @@ import random
 import re
 from hashlib import sha256
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from topicspark.llm import exact_dedup, ngram_join, substring_dedup, syncmers
 from topicspark.llm.components import connected_components
 
@@ -140,6 +143,38 @@ def test_op3_links_sizes_far_apart(spark):
         assert got == components(rows, 3, t) and len({c for _, _, c in got}) == 4
 
 
+def test_op3_parity_maps_never_exceed_the_difference(spark):
+    """Also where one map is twice as long as the other and is folded, or is not compared."""
+    rng = random.Random(23)
+    rows = []
+    for _ in range(300):
+        both, a, b = (rng.sample(range(-2**63, 2**63), rng.randrange(0, top)) for top in (300, 60, 60))
+        ka, kb = np.array(both + a, np.int64), np.array(both + b, np.int64)
+        rows.append((ngram_join._parity(ka).tolist(), ngram_join._parity(kb).tolist(), len(a) + len(b)))
+    docs = spark.createDataFrame(rows, "x array<bigint>, y array<bigint>, apart int")
+    got = docs.select(ngram_join._differing("x", "y").alias("bits"), "apart", F.size("x").alias("nx"), F.size("y").alias("ny")).collect()
+    assert all(r["bits"] <= r["apart"] for r in got)
+    assert any(r["nx"] == 2 * r["ny"] and r["bits"] > 0 for r in got)
+    near = [r for r in got if r["nx"] == r["ny"]]
+    assert sum(r["bits"] for r in near) > 0.85 * sum(r["apart"] for r in near)
+
+
+def test_op3_near_misses_and_shared_passages(spark):
+    """Copies with edits around the threshold, and texts of which half is a passage that all share."""
+    rng = random.Random(29)
+    for n, t, most in ((3, 90, 12), (5, 80, 14)):
+        base, passage, rows = words(rng, 220, 5000).split(), words(rng, 60, 5000), []
+        for _ in range(120):
+            w = list(base)
+            for _ in range(rng.randrange(2, most)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+        rows += [(len(rows) + k, f"{words(rng, 60, 5000)} {passage}") for k in range(60)]
+        rng.shuffle(rows)
+        got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), n, t).collect()
+        assert by_key(got) == components(rows, n, t)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 200)] + [(500, 501), (501, 502)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}

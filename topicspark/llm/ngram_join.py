@@ -3,10 +3,10 @@
 A document's set is its distinct word shingles.  Equal sets form a class, and
 only one document of a class takes part in the join:
 
-1. *Which classes can have a partner.*  Hash order cuts a set into F fragments.
-   Two sets with similarity >= t differ in at most (a + b)(1 - t)/(1 + t)
-   shingles, so with F above that (for the largest sizes that meet) some
-   fragment is equal in both.  Classes that share no fragment are done.
+1. *Which classes can have a partner.*  Of its n shingles in hash order a set
+   shows the first n - ceil(t n) + j.  Two sets t alike share ceil(t n) or
+   more, so they show each other j shingles in common (j of the smaller set).
+   Classes that show fewer which another class shows too are done.
 2. *Global order.*  Over the classes left, shingles are ordered by document
    frequency, then hash.  A set whose share of shingles that others also have
    is below t is done as well; the rest are cut at pivots of the global order
@@ -15,9 +15,11 @@ only one document of a class takes part in the join:
    (prefix filter).  Each shingle's members are first held against one of
    them (in two rounds with different choices); linked documents form
    components, and then members of *different* components that share a
-   prefix shingle are compared, if their longer prefixes share enough.  So a
-   large group of linked copies costs its size, and no link between
-   components is lost.
+   prefix shingle are compared.  Each carries its shingles as a parity map (a
+   shingle flips one bit), and two maps differ in no more bits than the sets
+   in shingles, so pairs that fall short of t are dropped where they meet.  So
+   a large group of linked copies costs its size, near misses cost no rows,
+   and no link between components is lost.
 4. *Verification.*  Partial overlaps are counted per vertical fragment and
    summed per pair.
 
@@ -41,27 +43,13 @@ from topicspark.llm.rolling import BASES, Words, mix, rolling
 from topicspark.session import materialize
 
 SALTS = 8
-LONGER = 12  # shingles that the longer prefixes of two linked sets have in common
+BITS_A_KEY = 8  # bits of a parity map for each shingle, at least half of it
 
 
-def size_classes(t: int, top: int = 1 << 40) -> np.ndarray:
-    """Lower bounds of the size classes; a class spans a factor of about 1.3, or 100 / t if that is
-    more, so that sets t percent alike are of one class or of neighbouring ones."""
-    out = [1]
-    while out[-1] < top:
-        out.append(max(out[-1] + 1, int(out[-1] * 1.3), 100 * out[-1] // t))
-    return np.array(out, np.int64)
-
-
-def fragment_count(largest: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fragments, spare ones) for pairs of sets of at most ``largest`` shingles, t percent alike.
-
-    Such sets differ in ``apart`` shingles at most, so 1 + spare fragments are
-    equal in both; a set with no more empty fragments than that shares a filled one.
-    """
-    apart = 2 * largest * (100 - t) // (100 + t)
-    spare = 2 + apart // 20
-    return apart + 1 + spare, spare
+def shown(n: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in hash order that a set of n shows, how many of them a set t percent alike shows too)."""
+    least = -(-n * t // 100)  # what the smallest such set holds, and what both share
+    return n - least + n // 16 + 1, least // 16 + 1
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,30 +69,11 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], key[new]
 
 
-def _fragments(owner: np.ndarray, key: np.ndarray, n: np.ndarray, group: np.ndarray, pieces: np.ndarray, spare: np.ndarray):
-    """(text number, signature) of the fragments of each text that takes part (group >= 0)."""
-    part = group[owner] >= 0
-    owner, key = owner[part], key[part]
-    if not len(owner):
-        return owner, key.view(np.int64)
-    f = ((key >> np.uint64(32)) * pieces[owner].astype(np.uint64)) >> np.uint64(32)
-    at = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (f[1:] != f[:-1])]))
-    who, which = owner[at], f[at]
-    total = np.add.reduceat(mix(key), at)
-    place = mix(group[who].astype(np.uint64) * np.uint64(1 << 32) + which)
-    out_who, out = [who], [mix(total ^ place)]
-    filled = np.bincount(who, minlength=len(n))
-    for k in np.flatnonzero((group >= 0) & (n > 0) & (pieces - filled > spare)):  # many empty fragments: those count too
-        empty = np.setdiff1d(np.arange(pieces[k], dtype=np.uint64), which[who == k])
-        out_who.append(np.full(len(empty), k))
-        out.append(mix(mix(np.uint64(group[k]) * np.uint64(1 << 32) + empty) + np.uint64(1)))
-    return np.concatenate(out_who), np.concatenate(out).view(np.int64)
-
-
 def document_sets(docs: DataFrame, n: int, t: int) -> DataFrame:
-    """(doc_id, body, n_shingles, cid, sig, frags) of each row; cid and sig name the set, body the text."""
-    bounds = size_classes(t)
+    """(doc_id, body, n_shingles, cid, sig, head, least) of each row; cid and sig name the set, body the text.
 
+    ``head`` holds the shingles shown, of which a class with a partner shows ``least`` in common with others.
+    """
     def run(batches):
         for b in bounded(batches, "text", 4 << 20):
             words = Words(b.column("text").to_pylist(), lower=True)
@@ -114,22 +83,19 @@ def document_sets(docs: DataFrame, n: int, t: int) -> DataFrame:
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(key ^ np.uint64(x)), dtype=np.uint64)]) for x in BASES]
             one, two = ((s[at[1:]] - s[at[:-1]]) for s in sums)
             cid = mix(one ^ mix(size.astype(np.uint64))).view(np.int64)
-            group = np.searchsorted(bounds, np.maximum(size, 1), side="right") - 1
-            upper = bounds[group + 1]
-            here = np.where(size > 0, group, -1)
-            above = np.where((size > 0) & (100 * size >= t * upper), group + 1, -1)
-            parts = [_fragments(owner, key, size, g, *fragment_count(bounds[np.maximum(g, 0) + 1] - 1, t)) for g in (here, above)]
-            who, sig = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            sig = sig[np.argsort(who, kind="stable")]
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=b.num_rows))]).astype(np.int32)
+            show, least = shown(size, t)
+            show = np.where(size > 0, np.minimum(show, size), 0)
+            head = key[np.arange(len(key)) - at[owner] < show[owner]]
+            offsets = np.concatenate([[0], np.cumsum(show)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("body"), pa.array(size, pa.int64()), pa.array(cid), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(sig))],
-                ["doc_id", "body", "n_shingles", "cid", "sig", "frags"])
-    return texts(docs).withColumn("body", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, body bigint, n_shingles bigint, cid bigint, sig bigint, frags array<bigint>")
+                [b.column("doc_id"), b.column("body"), pa.array(size, pa.int64()), pa.array(cid), pa.array(two.view(np.int64)),
+                 pa.ListArray.from_arrays(offsets, pa.array(head.view(np.int64))), pa.array(least, pa.int64())],
+                ["doc_id", "body", "n_shingles", "cid", "sig", "head", "least"])
+    return texts(docs).withColumn("body", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, body bigint, n_shingles bigint, cid bigint, sig bigint, head array<bigint>, least bigint")
 
 
 def _class_keys(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """(cid, key): the shingles of each class, from the text of its first document."""
+    """(cid, keys): the shingles of each class, from the text of its first document."""
     wanted = texts(docs).join(classes.select(F.col("rep").alias("doc_id"), "cid"), "doc_id")
 
     def run(batches):
@@ -141,9 +107,42 @@ def _class_keys(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(key ^ np.uint64(BASES[0])), dtype=np.uint64)])
             cid = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(size.astype(np.uint64))).view(np.int64)
             mine = cid == b.column("cid").to_numpy()  # a repeated doc_id may bring another text
-            keep = mine[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(cid[owner[keep]]), pa.array(key[keep].view(np.int64))], ["cid", "key"])
-    return wanted.select("cid", "text").mapInArrow(run, "cid bigint, key bigint").distinct()
+            offsets = np.concatenate([[0], np.cumsum(size[mine])]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(offsets, pa.array(key[mine[owner]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(cid[mine]), keys], ["cid", "keys"])
+    return wanted.select("cid", "text").mapInArrow(run, "cid bigint, keys array<bigint>").groupBy("cid").agg(F.first("keys").alias("keys"))
+
+
+def _parity(keys: np.ndarray) -> np.ndarray:
+    """The parity map of a set as 64-bit words, a power of two in number: each key flips one bit."""
+    bits = 64 << (BITS_A_KEY * len(keys) // 128).bit_length()
+    cell = (mix(keys.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _with_parity(sets: DataFrame) -> DataFrame:
+    """(cid, ahead, map): prefixes and parity maps of the sets ``keys``."""
+    def run(batches):
+        for b in batches:
+            maps = [_parity(np.array(k, np.int64)) for k in b.column("keys").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("ahead"), pa.array(maps, pa.list_(pa.int64()))], ["cid", "ahead", "map"])
+    return sets.select("cid", "ahead", "keys").mapInArrow(run, "cid bigint, ahead array<bigint>, map array<bigint>")
+
+
+def _differing(a: str, b: str):
+    """Bits in which two parity maps differ: at most the keys that only one set has.
+
+    A map of twice the length is folded; maps further apart aren't compared (0).
+    """
+    def bits(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, v: s + v)
+
+    def folded(x):
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    na, nb = F.size(a), F.size(b)
+    return F.when(na == nb, bits(F.col(a), F.col(b))).when(na == 2 * nb, bits(folded(a), F.col(b))).when(2 * na == nb, bits(F.col(a), folded(b))).otherwise(0)
 
 
 def _overlaps(pairs: DataFrame, vectors: DataFrame, t: int) -> DataFrame:
@@ -170,16 +169,16 @@ def jaccard_links(docs: DataFrame, n: int = 3, t: int = 90, pieces: int = 4) ->
     """
     sets = materialize(document_sets(docs, n, t), "sets")
     known = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(known.groupBy("cid", "sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("frags").alias("frags")), "classes")
+    classes = materialize(known.groupBy("cid", "sig").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "head", "least")]), "classes")
 
-    # 1: classes that share a fragment with another one
-    rows = classes.select("cid", F.explode("frags").alias("frag"))
-    shared = rows.groupBy("frag").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("frag")
-    involved = materialize(rows.join(shared, "frag").select("cid").distinct(), "involved")
-    part = classes.select("cid", "rep", "n").join(involved, "cid")
+    # 1: classes that show enough shingles which another one shows too
+    rows = classes.select("cid", "least", F.explode("head").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("key")
+    involved = materialize(rows.join(shared, "key").groupBy("cid", "least").agg(F.count("*").alias("seen")).filter("seen >= least").select("cid").distinct(), "involved")
+    part = classes.select("cid", "rep", F.col("n_shingles").alias("n")).join(involved, "cid")
 
     # 2: global order over these, and the sets cut at its pivots
-    keys = materialize(_class_keys(docs, part, n), "class-keys")
+    keys = materialize(_class_keys(docs, part, n), "class-keys").select("cid", F.explode("keys").alias("key"))
     frequency = keys.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     common = keys.join(frequency, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
     common = materialize(part.join(common, "cid").filter(F.lit(100) * F.size("keys") >= F.lit(t) * F.col("n")), "ordered-sets")
@@ -192,9 +191,8 @@ def jaccard_links(docs: DataFrame, n: int = 3, t: int = 90, pieces: int = 4) ->
 
     # 3: the prefix in the global order; unshared shingles come first in it and are left out here
     prefix = (F.size("keys") - F.ceil(F.col("n") * t / 100) + 1).cast("int")
-    ahead = F.slice("keys", F.lit(1), prefix + LONGER - 1)
-    heads = common.filter(prefix > 0).select("cid", "n", F.size("keys").alias("s"), ahead.alias("ahead"), F.explode(F.slice("keys", F.lit(1), prefix)).alias("k"))
-    heads = materialize(heads.select("cid", "n", "s", F.col("ahead.key").alias("ahead"), F.col("k.key").alias("key")), "prefixes")
+    heads = common.filter(prefix > 0).select("cid", "n", F.size("keys").alias("s"), F.explode(F.slice("keys.key", F.lit(1), prefix)).alias("key"))
+    heads = materialize(heads, "prefixes")
     links = None
     for turn in (0, 1):
         order = F.struct(F.xxhash64("cid", F.lit(turn)), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
@@ -208,11 +206,13 @@ def jaccard_links(docs: DataFrame, n: int = 3, t: int = 90, pieces: int = 4) ->
     placed = heads.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     placed = materialize(placed.join(apart, "key"), "apart")
-    one, two = (placed.select("key", *[F.col(c).alias(d + x) for c, d in (("cid", ""), ("n", "n"), ("s", "s"), ("root", "r"), ("ahead", "h"))]) for x in "ab")
-    # sets that can reach t share LONGER shingles (or all they need) of prefixes that much longer; a pair is taken at its first common one
-    met = F.array_intersect("ha", "hb")
-    needed = F.least(F.lit(LONGER), F.ceil(F.greatest("na", "nb") * t / 100).cast("int"))
-    close = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & _can_reach(t) & (F.size(met) >= needed) & (F.element_at(met, 1) == F.col("ka"))
+    some = common.join(placed.select("cid").distinct(), "cid").select("cid", F.slice("keys.key", F.lit(1), prefix).alias("ahead"), F.col("keys.key").alias("keys"))
+    placed = placed.join(_with_parity(some), "cid")
+    one, two = (placed.select("key", *[F.col(c).alias(d + x) for c, d in (("cid", ""), ("n", "n"), ("s", "s"), ("root", "r"), ("ahead", "h"), ("map", "m"))]) for x in "ab")
+    # the overlap is at most half of what the sizes leave after the bits that differ; a pair is taken at its first common shingle
+    near = F.lit(100 + t) * (F.col("sa") + F.col("sb") - _differing("ma", "mb")) >= F.lit(2 * t) * (F.col("na") + F.col("nb"))
+    first = F.element_at(F.array_intersect("ha", "hb"), 1) == F.col("ka")
+    close = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & _can_reach(t) & near & first
     rest = one.withColumnRenamed("key", "ka").join(two.withColumnRenamed("key", "kb"), (F.col("ka") == F.col("kb")) & close)
     links = links.unionAll(_overlaps(rest.select("a", "b", "na", "nb").distinct(), vectors, t))
     return sets.select("doc_id", "body", "n_shingles", "cid", "sig"), connected_components(links).withColumnRenamed("node", "cid").withColumnRenamed("root", "component")
