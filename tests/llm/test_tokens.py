@@ -20,13 +20,13 @@ RANKS, JSON, WORD = (P.path(x) for x in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
 def odd_texts():
     rng = random.Random(3)
-    fixed = ["", "   ", "a  b   c", "\n\n x \n y", "aaaaaaaaaaaaaaaa", "ab" * 300, "=" * 77, "'s 're it's  'S", "x y z", " lead", "trail ", "é́ ü"]
+    fixed = ["", "   ", "a  b   c", "\n\n x \n y", "aaaaaaaaaaaaaaaa", "ab" * 300, "=" * 77, "'s 're it's  'S", "x y z", " lead", "trail ", "é́ ü",
+             "<|endoftext|>", "a  <|endoftext|> b", "x <|endoftext|>", "<|endoftext|>  y\n<|endoftext|>", "one <|endoftext| > two", "end.<|endoftext|>End <|startoftext|> a"]
     return fixed + ["".join(rng.choice("ab c\n=ea  é't12 \x1c-日") for _ in range(rng.randint(0, 60))) for _ in range(800)]
 
 
@@ -75,12 +75,27 @@ def test_re_pair_expands_to_its_input():
     for _ in range(200):
         n = int(rng.integers(1, 300))
         ids, owner = rng.integers(0, int(rng.integers(1, 5)) + 1, n), np.sort(rng.integers(0, 3, n))
-        symbols, who, g = token_files.re_pair(ids, owner, 10, least=2, rounds=50)
+        symbols, who, g = token_files.re_pair(ids, owner, 10, least=2)
         assert (g.expand(symbols) == ids).all()
         assert (np.concatenate([g.expand(symbols[who == k]) for k in range(3)]) == ids).all()
         assert [len(g.expand(np.array([10 + k]))) for k in range(len(g.left))] == g.lengths.tolist()
 
 
+@pytest.mark.parametrize("least", [2, 4, 16])
+def test_re_pair_leaves_no_frequent_pair(least):
+    """Zipf-like ids with copied passages and runs of one id; counts of non-overlapping places."""
+    rng = np.random.default_rng(least)
+    ids = np.minimum(rng.zipf(1.3, 60_000), 20_000)
+    ids[30_000:40_000] = ids[:10_000]
+    ids[50_000:50_500] = 7
+    owner = np.sort(rng.integers(0, 200, len(ids)))
+    symbols, who, g = token_files.re_pair(ids, owner, 1 << 17, least=least)
+    assert (g.expand(symbols) == ids).all()
+    inside = who[:-1] == who[1:]
+    pairs, count = np.unique((symbols[:-1] << 32 | symbols[1:])[inside], return_counts=True)
+    assert count.max() < least, (count.max(), (count >= least).sum())
+
+
 def test_re_pair_shortens_repeats_and_decodes_one_document():
     ids = [np.tile(np.arange(50, dtype="<u4"), 40).tobytes(), np.arange(7, dtype="<u4").tobytes(), np.tile(np.arange(50, dtype="<u4"), 3).tobytes()]
     row = token_files._shard(0, 0, [3, None, 9], ids, 1 << 17, 0)

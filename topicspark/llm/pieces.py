@@ -36,16 +36,22 @@ class PieceTable:
     At ``limit`` pieces the table stays as it is (it then holds the frequent
     ones), and others are encoded again when another call brings them.
     A mark after letters is a piece of its own, as no tokenizer here joins them.
+    Texts that hold one of ``controls`` aren't cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 500_000, controls: Iterable[str] = ()):
         self.encode, self.limit, self.parts = encode, limit, {}
+        found = "|".join(map(re.escape, sorted(controls, key=len, reverse=True)))
+        self.control = re.compile(found) if found else None
         self.marks = dict(zip(MARKS, encode(list(MARKS))))
 
+    def cut(self, text: str) -> tuple[str, list[str]]:
+        return (text, []) if self.control and self.control.search(text) else cut(text)
+
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         parts, marks, heads, new = self.parts, self.marks, set(), set()
         for t in texts:
-            head, rest = cut(t)
+            head, rest = self.cut(t)
             heads.add(head)
             new.update(p for p in set(rest) if p not in parts)
         marked = [p for p in new if p[-1] in marks and p[:-1].isalpha()]
@@ -58,7 +64,7 @@ class PieceTable:
         known_heads = dict(zip(starts, self.encode(starts)))
         get = parts.__getitem__
         for t in texts:
-            head, rest = cut(t)
+            head, rest = self.cut(t)
             yield known_heads[head] + b"".join(map(get, rest))
         if len(parts) > self.limit:
             for p in plain.union(marked):
@@ -69,8 +75,8 @@ _LIBRARY: dict[str, PieceTable] = {}
 BETWEEN = "|"
 
 
-def library_encoder(path: str) -> Callable[[list[str]], Iterator[bytes]]:
-    """Encode pieces with a ``tokenizers`` file; control strings in a text are ordinary text.
+def library_encoder(path: str) -> tuple[Callable[[list[str]], Iterator[bytes]], list[str]]:
+    """(encoder of pieces by a ``tokenizers`` file, its control strings, which get their own ids).
 
     Pieces that start with a space are joined by `` |`` to a few long texts
     and their ids parted at that mark's id, as a call for each takes longer.
@@ -78,7 +84,6 @@ def library_encoder(path: str) -> Callable[[list[str]], Iterator[bytes]]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     mark = t.encode(" " + BETWEEN, add_special_tokens=False).ids
 
     def each(pieces: list[str]) -> list[bytes]:
@@ -110,12 +115,13 @@ def library_encoder(path: str) -> Callable[[list[str]], Iterator[bytes]]:
             for p in some:
                 yield done[p]
 
-    return encode
+    return encode, [a.content for a in t.get_added_tokens_decoder().values()]
 
 
 def library_table(path: str) -> PieceTable:
     """One table a worker for each tokenizer file."""
     if path not in _LIBRARY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _LIBRARY[path] = PieceTable(library_encoder(path))
+        encode, controls = library_encoder(path)
+        _LIBRARY[path] = PieceTable(encode, controls=controls)
     return _LIBRARY[path]

@@ -63,15 +63,14 @@ class Grammar:
         return out
 
 
-def re_pair(ids: np.ndarray, owner: np.ndarray, first: int, least: int = 16, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, Grammar]:
+def re_pair(ids: np.ndarray, owner: np.ndarray, first: int, least: int = 16) -> tuple[np.ndarray, np.ndarray, Grammar]:
     """(symbols, their documents, grammar): each round replaces all frequent pairs that don't contend for a symbol.
 
-    ``least`` is the count from which a pair earns a rule; ``rounds`` bounds the effort.
+    ``least`` is the count from which a pair earns a rule; the strongest pair of a round
+    loses no more than every second place, to itself, so rounds go on until no pair has that count.
     """
     sym, left, right = ids.astype(np.int64), [], []
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    while len(sym) > 1:
         a, b = sym[:-1], sym[1:]
         cell = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & ((1 << BITS) - 1)
         inside = owner[:-1] == owner[1:]
@@ -96,7 +95,7 @@ def re_pair(ids: np.ndarray, owner: np.ndarray, first: int, least: int = 16, rou
             break
         won = (sym[pos] << 32) | sym[pos + 1]
         rules, which, uses = np.unique(won, return_inverse=True, return_counts=True)
-        earn = uses >= max(4, least // 4)
+        earn = uses >= max(2, least // 4)
         if not earn.any():
             break
         name = np.cumsum(earn) - 1 + first + sum(map(len, left))
@@ -107,10 +106,7 @@ def re_pair(ids: np.ndarray, owner: np.ndarray, first: int, least: int = 16, rou
         sym[pos] = name[which]
         keep = np.ones(len(sym), bool)
         keep[pos + 1] = False
-        saved = len(pos)
         sym, owner = sym[keep], owner[keep]
-        if saved * 100 < len(sym):
-            break
     flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
     return sym, owner, Grammar(first, *flat)
 
