@@ -1,5 +1,9 @@
 """Literal cases of the reference's tests (code frequencies, katakana sentences) and text helpers."""
 
+import re
+import time
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from topicspark.functions import text as T
@@ -79,3 +83,31 @@ def test_tagged_token_functions(spark):
     assert df.select(T.token_features("t", ["orth", "lemma"])).first()[0] == ["Tokyo/", "、/", "cats/cat"]
     assert df.select(T.proper_noun_blank("t")).first()[0] == ["", "、", "cat"]
     assert df.select(F.transform("t", lambda x: T.lemma_fallback(x["lemma"], x["orth"]))).first()[0] == ["Tokyo", "、", "cat"]
+
+
+def test_katakana_sentence_of_a_long_paragraph(spark):
+    """The repetition checks take time in proportion to a paragraph's length."""
+    plain = "".join(chr(0x30A2 + (i * i * 7 + i * 3) % 61) for i in range(600_000))
+    mostly_one = "ア" * 9 + "イウエオ"
+    begin = time.monotonic()
+    got = spark.createDataFrame([(0, plain), (1, mostly_one)], "i int, t string").repartition(1).select("i", T.is_katakana_sentence("t")).collect()
+    assert time.monotonic() - begin < 60
+    assert dict(got) == {0: is_kata(plain), 1: is_kata(mostly_one)}
+
+
+def is_kata(t):
+    """The rules, one after the other."""
+    n, kata = len(t), sum(0x30A1 <= ord(c) <= 0x30F6 or ord(c) == 0x30FC for c in t)
+    if n == 0 or any(0x3041 <= ord(c) <= 0x3096 for c in t) or kata / n <= 0.5 or n < 8 or (n < 10 and t[-2:] in ("？」", "！」")):
+        return False
+    pairs = Counter(t[i:i + 2] for i in range(n - 1))
+    return not ((n < 100 and len(set(t)) / n < 0.5) or max(pairs.values()) / n > 0.5
+                or len(re.findall(r"(.)\1+", t)) / n > 0.1 or len(re.findall(r"(..)ッ?\1", t)) / n > 0.1)
+
+
+def test_katakana_sentence_repetition_rules(spark):
+    texts = ["ア" * k + "イウエオカキクケコサシスセソタチツテト"[:m] for k in range(1, 200, 13) for m in range(0, 20, 3)]
+    texts += ["アイ" * k + "ウエオカキクケコ" for k in (1, 3, 30, 80)] + ["アアアアアアアア", "アァイィウゥエェ", "", "アイウエオカキ", "アイウエオカキ！」"]
+    texts += ["".join("アイウエオカキクケコ"[j % 10] for j in range(110)) + "ン" * k for k in (50, 105, 120, 300)]
+    got = dict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.is_katakana_sentence("t")).collect())
+    assert got == {i: is_kata(t) for i, t in enumerate(texts)}
