@@ -111,3 +111,15 @@ def test_katakana_sentence_repetition_rules(spark):
     texts += ["".join("アイウエオカキクケコ"[j % 10] for j in range(110)) + "ン" * k for k in (50, 105, 120, 300)]
     got = dict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.is_katakana_sentence("t")).collect())
     assert got == {i: is_kata(t) for i, t in enumerate(texts)}
+
+
+def test_tagger_looks_a_class_up_once(spark):
+    from topicspark.functions import tagging as TG
+
+    df = spark.createDataFrame([("Élan vital, x2 $5 \u3000 Ⓐ世界 İz _",)], "t string").select(TG.default_tagger("t").alias("x"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count(TG.WORD_RX) == 1
+    got = [(t["pos"], t["orth"], t["lemma"], t["pos1"], t["pos2"]) for t in df.first()["x"] if t["pos1"] != "空白"]
+    assert got == [(0, "Élan", "élan", "名詞", "一般"), (2, "vital", "vital", "名詞", "一般"), (3, ",", None, "補助記号", "一般"), (5, "x2", "x2", "名詞", "一般"),
+                   (7, "$", None, "記号", "一般"), (8, "5", "5", "名詞", "一般"), (10, "\u3000", None, "記号", "一般"), (12, "Ⓐ", None, "記号", "一般"),
+                   (13, "世界", "世界", "名詞", "一般"), (15, "İz", "i̇z", "名詞", "固有名詞"), (17, "_", None, "補助記号", "一般")]

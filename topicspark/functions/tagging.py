@@ -31,12 +31,15 @@ def default_tagger(text) -> Column:
     toks = F.regexp_extract_all(t, F.lit(TAG_TOKEN), 0)
 
     def one(tok, i):
-        word = tok.rlike(WORD_RX)
-        pos1 = (F.when(word, F.lit("名詞")).when(tok.rlike(SPACE_RX), F.lit("空白"))
-                .when(tok.rlike(PUNCT_RX), F.lit("補助記号")).otherwise(F.lit("記号")))
-        pos2 = F.when(word & tok.rlike(UPPER_RX) & (i > 0), F.lit("固有名詞")).otherwise(F.lit("一般"))
-        return F.struct(i.cast("int").alias("pos"), tok.alias("orth"),
-                        F.when(word, F.lower(tok)).alias("lemma"), pos1.alias("pos1"), pos2.alias("pos2"))
+        # a token is a run of one class, or one character: its class is looked up once
+        pos2 = F.when((i > 0) & tok.rlike(UPPER_RX), F.lit("固有名詞")).otherwise(F.lit("一般"))
+        other = F.when(tok.rlike(SPACE_RX), F.lit("空白")).when(tok.rlike(PUNCT_RX), F.lit("補助記号")).otherwise(F.lit("記号"))
+
+        def tagged(lemma, pos1, pos2):
+            return F.struct(i.cast("int").alias("pos"), tok.alias("orth"), lemma.alias("lemma"), pos1.alias("pos1"), pos2.alias("pos2"))
+
+        return F.when(tok.rlike(WORD_RX), tagged(F.lower(tok), F.lit("名詞"), pos2)).otherwise(
+            tagged(F.lit(None).cast("string"), other, F.lit("一般")))
 
     return F.transform(toks, one)
 

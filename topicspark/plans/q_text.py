@@ -212,7 +212,8 @@ def q_token_features(spark, sf):
     """orth/lemma/pos1 feature strings of every tagged token."""
     d = table(spark, sf, "documents")
     feats = T.token_features(TG.default_tagger("text"), ["orth", "lemma", "pos1"])
-    return d.select(F.col("doc_id").alias("docid"), *_digest(feats, "features"))
+    # a column of its own: count and digest read it, and lambdas are computed anew in each expression
+    return d.select(F.col("doc_id").alias("docid"), feats.alias("feats")).select("docid", *_digest("feats", "features"))
 
 
 @query("lemma_fallback", f"""
