@@ -7,6 +7,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -183,3 +184,19 @@ def test_pipeline_against_brute_force(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in out} == set(want)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "substring dedup", "best-fit packing"]
+
+
+def test_batches_to_python_are_bounded_in_bytes(spark):
+    """10,000 long documents in one batch took an executor's memory beside its heap."""
+    from pyspark.sql import functions as F
+
+    from topicspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    docs = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("some words "), 1200).alias("text"))
+    got = [r["n"] for r in docs.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) > 35 << 20 and max(got) < 20 << 20

@@ -204,7 +204,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for b in bounded(batches, "text", 4 << 20):
+        # a slice's arrays take some 30 times its bytes, beside whole rows on their way in and out
+        for b in bounded(batches, "text", 1 << 20):
             score = forest.scores(statistics(b.column(at).to_pylist()))
             yield b.filter(pa.array(score >= 0.5))
     return docs.mapInArrow(run, schema)
