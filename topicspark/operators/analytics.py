@@ -119,7 +119,7 @@ def window_topic_similarity(tokens: DataFrame, scores: DataFrame, unit_cols, siz
     idf = scores.groupBy("term").agg(F.first("idf").alias("_idf"))
     tnorm = scores.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("_tn"))
     t = tokens.select(*units, "tokens", F.size("tokens").alias("_m"))
-    pos = t.select(*units, "_m", F.posexplode("tokens").alias("pos", "term"))
+    pos = t.select(*units, "_m", F.posexplode_outer("tokens").alias("pos", "term"))  # no position has no window
     last = F.greatest(F.col("_m") - size, F.lit(0))
     lo = F.greatest(F.lit(0), F.col("pos") - size + 1)
     hi = F.least(F.col("pos"), last)

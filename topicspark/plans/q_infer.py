@@ -99,8 +99,7 @@ def q_topics_per_class(spark, sf):
 def _bench_vectors(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", T.tokenize_word("text").alias("tokens"))
     counts = V.term_counts(b, "item_id")
-    long = E.hash_encode(counts, QM.corpus_idf(spark, sf), unit="item_id")
-    return E.to_dense(long, unit="item_id")
+    return E.rows_to_dense(E.hash_rows(counts, QM.corpus_idf(spark, sf), unit="item_id"), unit="item_id")
 
 
 @query("find_topics", with_ctes(fx.SQL_CORPUS, fx.SQL_DOC_TOPIC, C.SQL_TOKS, C.SQL_CTFIDF, C.SQL_TOPWORDS, QM.SQL_E1,
@@ -221,7 +220,7 @@ SELECT tp.docid, CAST(tp.pos AS INTEGER) AS pos, tp.term, best.best_topic FROM t
 def q_token_topics(spark, sf):
     """Topic of every token of every document (best phi among the document's inferred topics)."""
     phi, _ = _phi(spark, sf)
-    tp = C.doc_tokens(spark, sf).select("docid", F.posexplode("tokens").alias("pos", "term"))
+    tp = C.doc_tokens(spark, sf).select("docid", F.posexplode_outer("tokens").alias("pos", "term")).where(F.col("pos").isNotNull())
     inferred = QM.given_probs(spark, sf).where(F.col("prob") > 0).select("docid", "topic")
     return A.token_topics(tp, phi, inferred).select("docid", F.col("pos").cast("int"), "term", "best_topic")
 
@@ -253,7 +252,7 @@ def q_token_distribution(spark, sf):
 def _window_vectors(spark, sf):
     """E1 vectors of every 4-token window of every conversation turn."""
     t = _conv_tokens(spark, sf).select("conv_id", "turn", "tokens", F.size("tokens").alias("_m"))
-    pos = t.select("conv_id", "turn", "_m", F.posexplode("tokens").alias("pos", "term"))
+    pos = t.select("conv_id", "turn", "_m", F.posexplode_outer("tokens").alias("pos", "term"))  # no position has no window
     last = F.greatest(F.col("_m") - WIN, F.lit(0))
     lo, hi = F.greatest(F.lit(0), F.col("pos") - WIN + 1), F.least(F.col("pos"), last)
     w = pos.where(lo <= hi).select("conv_id", "turn", F.explode(F.sequence(lo, hi)).alias("win"), "term")
