@@ -188,3 +188,15 @@ def test_bounded_batches_keep_all_rows():
     from topicspark.llm.common import bounded
     b = pa.RecordBatch.from_pydict({"text": ["x" * n for n in range(100)]})
     assert [t for p in bounded([b], "text", 500) for t in p.column("text").to_pylist()] == b.column("text").to_pylist()
+
+
+def test_small_table_gives_the_same_ids():
+    """A worker of operator 9 keeps fewer pieces; what it no longer holds is encoded again."""
+    texts = odd_texts() + [f"piece{i} {'q' * (i % 7)}{i * 7919} of many" for i in range(3000)]
+    small, encode = pieces.library_table(WORD, 500), library(WORD)
+    assert small is not pieces.library_table(WORD)
+    for _ in range(2):
+        got = [one for at in range(0, len(texts), 400) for one in small.texts(texts[at:at + 400])]
+        assert got == [encode(t).tobytes() for t in texts]
+        assert len(small.parts) <= 500
+    assert packing.KEPT <= 250_000 and packing.TEXT <= 2 << 20

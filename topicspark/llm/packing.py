@@ -28,6 +28,8 @@ from topicspark.llm.pieces import library_table
 from topicspark.session import materialize
 
 FULL, ROUND = 1 << 62, 1 << 50  # sequence ids of pieces that fill one, and of each round
+# a worker's memory beside an executor's heap: pieces kept with their ids, and text of a batch
+KEPT, TEXT = 250_000, 2 << 20
 
 
 def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFrame:
@@ -37,9 +39,10 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFr
     """
     def run(batches):
         closing = np.array([end], "<u4").tobytes()
-        for b in bounded(batches, "text", 6 << 20):
+        pa.default_memory_pool().release_unused()  # what a stage before left in this worker
+        for b in bounded(batches, "text", TEXT):
             who, piece, start, length, ids = [], [], [], [], []
-            for doc, one in zip(b.column("doc_id").to_pylist(), library_table(path).texts(b.column("text").to_pylist())):
+            for doc, one in zip(b.column("doc_id").to_pylist(), library_table(path, KEPT).texts(b.column("text").to_pylist())):
                 one += closing
                 for k, at in enumerate(range(0, len(one), 4 * size)):
                     cut = one[at:at + 4 * size]

@@ -71,7 +71,7 @@ class PieceTable:
                 del parts[p]
 
 
-_LIBRARY: dict[str, PieceTable] = {}
+_LIBRARY: dict[tuple[str, int], PieceTable] = {}
 BETWEEN = "|"
 
 
@@ -118,10 +118,10 @@ def library_encoder(path: str) -> tuple[Callable[[list[str]], Iterator[bytes]],
     return encode, [a.content for a in t.get_added_tokens_decoder().values()]
 
 
-def library_table(path: str) -> PieceTable:
-    """One table a worker for each tokenizer file."""
-    if path not in _LIBRARY:
+def library_table(path: str, limit: int = 500_000) -> PieceTable:
+    """One table a worker for each tokenizer file and limit."""
+    if (path, limit) not in _LIBRARY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, controls = library_encoder(path)
-        _LIBRARY[path] = PieceTable(encode, controls=controls)
-    return _LIBRARY[path]
+        _LIBRARY[path, limit] = PieceTable(encode, limit, controls)
+    return _LIBRARY[path, limit]
