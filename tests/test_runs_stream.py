@@ -52,3 +52,19 @@ def test_texts_without_a_known_term_are_assigned_to_minus_one(spark, tmp_path, m
         assert set(by) == {(c, t) for c, t, _ in rows} and got.count() == len(rows)
         assert by[1, 0][0] >= 0 and by[1, 0][1] > 0
         assert all(by[k] == (-1, None) for k in by if k != (1, 0))
+
+
+def test_text_corpus_is_written_a_file_a_document_without_a_folder_each(spark, tmp_path):
+    import os
+
+    from topicspark.sources.tables import read_text_corpus, write_text_corpus
+    rows = [("doc1.txt", "one\ntwo\n"), ("_a/b%.é.txt", "ü"), (".x.txt", ""), ("n.txt", None), (None, "nameless"), ("same.txt", "a"), ("same.txt", "b")]
+    docs = spark.createDataFrame(rows, "filename string, text string").repartition(3, "filename")
+    folders = write_text_corpus(docs, str(tmp_path / "corpus"))
+    files = [os.path.join(at, f) for at, _, found in os.walk(tmp_path / "corpus") for f in found]
+    assert len(folders) <= 3 and len(files) == 6 and {os.path.dirname(f) for f in files} == set(folders)
+    got = {tuple(r) for r in read_text_corpus(spark, folders, written=True).collect()}
+    assert got == {("doc1.txt", "doc1", "one\ntwo\n"), ("_a/b%.é.txt", "_a/b%.é", "ü"), (".x.txt", ".x", ""), ("n.txt", "n", ""),
+                   (None, None, "nameless"), ("same.txt", "same", "a\nb")}
+    none = write_text_corpus(docs.limit(0), str(tmp_path / "none"))
+    assert read_text_corpus(spark, none, written=True).count() == 0

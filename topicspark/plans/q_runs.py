@@ -9,7 +9,7 @@ from topicspark.plans import fixtures as fx
 from topicspark.plans.catalog import query, with_ctes
 from topicspark.session import scratch_path
 from topicspark.sources import runs as R
-from topicspark.sources.tables import read_text_corpus
+from topicspark.sources.tables import read_text_corpus, write_text_corpus
 
 SETTINGS = {"embedding_model": "hash-e1-64", "representations": sorted(["KeyBERT", "Main", "POS"]), "nr_topics": 0,
             "tokenizer": "word", "ngram_range": [1, 1], "max_df": C.MAX_DF, "features": [], "pos_filter": [],
@@ -20,9 +20,8 @@ SETTINGS = {"embedding_model": "hash-e1-64", "representations": sorted(["KeyBERT
 SELECT filename, regexp_replace(filename, '\.[^.]*$', '') AS title, md5(text) AS text_md5 FROM corpus""")
 def q_corpus_read(spark, sf):
     """Every document written as its own .txt file in the shared folder, read back one file per row."""
-    path = scratch_path(spark, "corpus_txt")
-    fx.corpus(spark, sf).select("filename", "text").write.partitionBy("filename").text(path)
-    raw = read_text_corpus(spark, path, filename_from_dir=True)
+    folders = write_text_corpus(fx.corpus(spark, sf), scratch_path(spark, "corpus_txt"))
+    raw = read_text_corpus(spark, folders, written=True)
     return raw.select("filename", "title", F.md5("text").alias("text_md5"))
 
 
