@@ -1,5 +1,6 @@
 """Invariants of the trained / iterative operators on planted clusters."""
 
+import re
 import time
 
 import numpy as np
@@ -125,3 +126,29 @@ def test_divergence_and_coordinates(spark):
     assert np.allclose(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2)), d)
     assert xy[:, 0].var() >= xy[:, 1].var() and K.principal_coordinates(np.zeros((0, 0))).shape == (0, 2)
     assert K.topic_coordinates(phi).count() == 7
+
+
+def test_words_of_a_topic_are_not_shuffled_by_topic(spark):
+    from topicspark.operators import ctfidf as G
+    from topicspark.plans import q_topics as QT
+    sf, key = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    counts = spark.createDataFrame([(0, "a", 2), (0, "b", 1), (1, "b", 3)], "topic int, term string, n bigint")
+    old = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (G.ctfidf(counts, 2), QT.keybert_scores(spark, sf))]
+    finally:
+        spark.conf.set(key, old)
+    assert not re.search(r"SortMergeJoin \[topic#\d+\]", plans[0])
+    assert not re.search(r"SortMergeJoin \[topic#\d+, dim#\d+\]", plans[1])
+
+
+def test_aspects_are_made_once_and_texts_tagged_once(spark):
+    from topicspark.functions.tagging import TAG_TOKEN
+    from topicspark.plans import q_topics as QT
+    from topicspark.plans.catalog import query_scope
+    sf = "/root/testdata/sf0.001"
+    plan = QT.pos_scores(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(TAG_TOKEN[:20]) == 1
+    with query_scope():
+        assert QT.aspects_table(spark, sf) is QT.aspects_table(spark, sf)

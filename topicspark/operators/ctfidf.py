@@ -31,7 +31,8 @@ def ctfidf(counts: DataFrame, n_topics, max_df: float | None = None, normalize:
     (scalar subquery) or an int.  One groupBy(term) gives both the topic
     frequency (for max_df) and the corpus frequency f; removing a term removes
     it from every topic, so f of the kept terms is unchanged by the filter.
-    The topic totals are K rows; the corpus total is a window over them.
+    The topic totals are K rows, sent to every task, as a shuffle by topic would
+    make K partitions; the corpus total is a window over them.
     """
     n_t = n_topics if not isinstance(n_topics, int) else F.lit(n_topics)
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("n").alias("f"))
@@ -42,7 +43,7 @@ def ctfidf(counts: DataFrame, n_topics, max_df: float | None = None, normalize:
              .withColumn("_total", F.sum("words").over(Window.partitionBy())))
     avg = F.col("_total") / n_t
     words = words.withColumn("_a", F.floor(avg) if integer_avg else avg).drop("_total")
-    out = kept.join(words, "topic")
+    out = kept.join(F.broadcast(words), "topic")
     tf = (F.col("n") / F.col("words")) if normalize else F.col("n").cast("double")
     idf = F.log(F.lit(1.0) + F.col("_a") / F.col("f"))
     return out.select("topic", "term", "n", tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicspark.plans import common as C
-from topicspark.plans.catalog import query
+from topicspark.plans.catalog import query, reused
 from topicspark.plans.fixtures import r6, sql_r6
 
 
@@ -63,7 +63,8 @@ def keybert_scores(spark, sf, candidates: int | None = None):
     norms = tv.groupBy("topic").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
     dim, sign = E.term_dim("term")
     c = cand.select("topic", "term", F.col("score").alias("weight"), dim.alias("dim"), sign.alias("sign"))
-    j = c.join(tv, ["topic", "dim"], "left").join(norms, "topic", "left")
+    # at most 64 rows a topic go to every task: a shuffle of all words by topic would end in a task a topic
+    j = c.join(F.broadcast(tv), ["topic", "dim"], "left").join(F.broadcast(norms), "topic", "left")
     sim = F.try_divide(F.col("sign") * F.coalesce(F.col("value"), F.lit(0.0)), F.col("_norm"))
     return j.select("topic", "term", F.coalesce(sim, F.lit(0.0)).alias("score"), "weight", "dim", "sign")
 
@@ -144,8 +145,9 @@ def q_rep_mmr(spark, sf):
 def pos_scores(spark, sf):
     """C-TF-IDF words of a topic restricted to lemmas tagged as proper nouns in its documents."""
     d = fx.corpus(spark, sf).select("docid", TG.default_tagger("text").alias("tg"))
-    pn = (d.select("docid", F.explode("tg").alias("t")).where(F.col("t.pos2") == "固有名詞")
-          .select("docid", F.col("t.lemma").alias("term")).join(fx.doc_topic(spark, sf), "docid")
+    names = F.array_distinct(F.transform(F.filter("tg", lambda t: t["pos2"] == "固有名詞"), lambda t: t["lemma"]))
+    # outer, so that texts aren't tagged again for a condition
+    pn = (d.select("docid", F.explode_outer(names).alias("term")).where(F.col("term").isNotNull()).join(fx.doc_topic(spark, sf), "docid")
           .select("topic", "term").distinct())
     return C.fix_ctfidf(spark, sf).join(pn, ["topic", "term"], "left_semi")
 
@@ -165,7 +167,9 @@ def q_rep_pos(spark, sf):
     return top.select("topic", "rank", "term", r6(F.col("score")).alias("score"))
 
 
+@reused("aspects")
 def aspects_table(spark, sf):
+    """(aspect, topic, rank, term, score): at most 10 words of each aspect of each topic, written once per query."""
     main = C.fix_top_words(spark, sf).select(F.lit("Main").alias("aspect"), "topic", "rank", "term", "score")
     kb = keybert_words(keybert_scores(spark, sf), 10).select(F.lit("KeyBERT").alias("aspect"), "topic", "rank", "term", "score")
     pos = G.top_words(pos_scores(spark, sf), 10).select(F.lit("POS").alias("aspect"), "topic", "rank", "term", "score")
