@@ -96,6 +96,20 @@ def test_re_pair_leaves_no_frequent_pair(least):
     assert count.max() < least, (count.max(), (count >= least).sum())
 
 
+def test_re_pair_of_a_full_shard_stays_below_sixty_bytes_an_id():
+    import tracemalloc
+
+    ids = np.random.default_rng(5).zipf(1.2, 1 << 20).clip(0, 50_000).astype("<u4")
+    owner = np.arange(len(ids)) // 500
+    tracemalloc.start()
+    try:
+        token_files.re_pair(ids, owner, 1 << 17)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 << 20
+
+
 def test_re_pair_shortens_repeats_and_decodes_one_document():
     ids = [np.tile(np.arange(50, dtype="<u4"), 40).tobytes(), np.arange(7, dtype="<u4").tobytes(), np.tile(np.arange(50, dtype="<u4"), 3).tobytes()]
     row = token_files._shard(0, 0, [3, None, 9], ids, 1 << 17, 0)

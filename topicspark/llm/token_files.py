@@ -63,6 +63,16 @@ class Grammar:
         return out
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, place of each value among them, counts): ``np.unique`` with places of 4 bytes."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    found, number = ranked[new], np.empty(len(values), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return found, number, np.diff(np.append(np.flatnonzero(new), len(values)))
+
+
 def re_pair(ids: np.ndarray, owner: np.ndarray, first: int, least: int = 16) -> tuple[np.ndarray, np.ndarray, Grammar]:
     """(symbols, their documents, grammar): each round replaces all frequent pairs that don't contend for a symbol.
 
@@ -71,25 +81,32 @@ def re_pair(ids: np.ndarray, owner: np.ndarray, first: int, least: int = 16) ->
     """
     sym, left, right = ids.astype(np.int64), [], []
     while len(sym) > 1:
-        a, b = sym[:-1], sym[1:]
-        cell = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & ((1 << BITS) - 1)
+        cell = (sym[:-1] * 0x9E3779B1 + sym[1:] * 0x85EBCA77) >> 7
+        cell &= (1 << BITS) - 1
+        cell = cell.astype(np.int32)
         inside = owner[:-1] == owner[1:]
         count = np.bincount(cell[inside], minlength=1 << BITS)
-        at = np.flatnonzero(inside & (count >= least)[cell])
+        inside &= (count >= least)[cell]
+        del cell, count
+        at = np.flatnonzero(inside).astype(np.int32)
         if not len(at):
             break
-        pair = (a[at] << 32) | b[at]
-        found, number, times = np.unique(pair, return_inverse=True, return_counts=True)
+        pair = (sym[at] << 32) | sym[at + 1]
+        found, number, times = _numbered(pair)
         # a pair takes part where it is the more frequent of the pairs it overlaps; a hash of the pair breaks ties,
         # so that no order of the ids makes one pair wait for the next, and in a run of one pair every second one takes part
         hashed = (mix(found.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
-        order = np.arange(len(at))
-        run = np.concatenate([[False], (pair[1:] == pair[:-1]) & (at[1:] == at[:-1] + 1)])
+        del pair, found
+        order = np.arange(len(at), dtype=np.int32)
+        run = np.concatenate([[False], (number[1:] == number[:-1]) & (at[1:] == at[:-1] + 1)])
         odd = (order - np.maximum.accumulate(np.where(run, 0, order))) % 2
-        strength = np.zeros(len(sym) + 1, np.int64)
+        del order, run
+        strength = np.zeros(len(sym) + 2, np.int64)
         strength[at + 1] = (np.where(times >= least, times, 0) * (1 << 24) + hashed)[number] * 2 + 1 - odd
-        here, before, after = strength[1:], strength[:-1], np.append(strength[2:], 0)
+        del odd, number, at
+        here, before, after = strength[1:-1], strength[:-2], strength[2:]
         win = (here > 0) & (here >= (1 << 25)) & (here >= after) & (here > before)
+        del strength, here, before, after
         pos = np.flatnonzero(win[:len(sym) - 1])
         if not len(pos):
             break
