@@ -249,19 +249,6 @@ def q_token_distribution(spark, sf):
     return d.select("conv_id", "turn", F.col("pos").cast("int"), "topic", r6(F.col("value")).alias("value"))
 
 
-def _window_vectors(spark, sf):
-    """E1 vectors of every 4-token window of every conversation turn."""
-    t = _conv_tokens(spark, sf).select("conv_id", "turn", "tokens", F.size("tokens").alias("_m"))
-    pos = t.select("conv_id", "turn", "_m", F.posexplode_outer("tokens").alias("pos", "term"))  # no position has no window
-    last = F.greatest(F.col("_m") - WIN, F.lit(0))
-    lo, hi = F.greatest(F.lit(0), F.col("pos") - WIN + 1), F.least(F.col("pos"), last)
-    w = pos.where(lo <= hi).select("conv_id", "turn", F.explode(F.sequence(lo, hi)).alias("win"), "term")
-    w = w.select(F.struct("conv_id", "turn", "win").alias("unit"), "term")
-    counts = w.groupBy("unit", "term").agg(F.count(F.lit(1)).alias("n"))
-    long = E.hash_encode(counts, QM.corpus_idf(spark, sf), unit="unit")
-    return E.to_dense(long, unit="unit")
-
-
 @query("approx_distribution_emb", with_ctes(fx.SQL_CORPUS, fx.SQL_DOC_TOPIC, C.SQL_TOKS, QM.SQL_E1) + ",\n" + rf"""
 ct AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS tokens FROM conversations),
 cp AS (SELECT conv_id, turn, len(tokens) AS m, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM ct),
@@ -276,11 +263,10 @@ t AS (SELECT conv_id, turn, sum(s) AS t FROM s GROUP BY 1, 2)
 SELECT conv_id, turn, topic, {sql_r6('s / t')} AS share FROM s JOIN t USING (conv_id, turn)""")
 def q_approx_distribution_emb(spark, sf):
     """Topic distribution of every conversation turn from E1 vectors of its 4-token windows."""
-    sims = K.cosine_to_topics(_window_vectors(spark, sf), QM._topic_vectors_e1(spark, sf))
-    e = sims.select("unit", F.explode("sims").alias("s")).select(
-        "unit.conv_id", "unit.turn", F.col("unit.win").alias("win"), "s.topic", F.col("s.sim").alias("sim"))
-    e = e.where(F.col("sim") >= MIN_SIM)
-    d = A.approx_distribution(e, ["conv_id", "turn"])
+    units = ["conv_id", "turn"]
+    windows = E.hash_windows(_conv_tokens(spark, sf), QM.corpus_idf(spark, sf), units, WIN)
+    sims = K.window_similarity(windows, QM._topic_vectors_e1(spark, sf), units, QM.DIMS, MIN_SIM)
+    d = A.approx_distribution(sims, units)
     return d.select("conv_id", "turn", "topic", r6(F.col("share")).alias("share"))
 
 
