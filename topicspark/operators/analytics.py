@@ -7,10 +7,13 @@ term, so each one is partitioned by the data, not collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspark.operators.topk import top_k
+from topicspark.session import materialize
+
+PAIRS = 400_000  # terms x topics of the most frequent terms that every task gets, about 10 MB
 
 
 def topics_per_class(class_counts: DataFrame, doc_topic: DataFrame, classes: DataFrame, scores: DataFrame,
@@ -89,22 +92,33 @@ def ldavis_saliency(phi: DataFrame, prevalence: DataFrame) -> DataFrame:
     return kl.select("term", (F.col("_p") * F.col("_d")).alias("saliency"))
 
 
-def token_topics(token_pos: DataFrame, phi: DataFrame, doc_topics: DataFrame | None) -> DataFrame:
-    """Best topic (by phi, ties by topic) of every token position; with ``doc_topics``
+def token_topics(docs: DataFrame, phi: DataFrame, doc_topics: DataFrame | None, tokens: Column, pairs: int = PAIRS) -> DataFrame:
+    """(docid, pos, term, best_topic): best topic (by phi, ties by topic) of every token; with ``doc_topics``
     (docid, topic) only topics inferred for that document count (assigned_only); tokens
     without a candidate keep a NULL topic.
 
-    The best topic is found once per (document, distinct term), against one
-    array per term of its topics, best first (as long as there are topics).
+    ``tokens`` is the array of tokens by the columns of ``docs``.  A document's
+    text moves once, to its topics, and is split after that.  A token meets one
+    array of its term's topics, best first: those of the most frequent terms
+    (at most ``pairs`` topics in all) are sent to every task, and only tokens
+    of other terms, in documents with topics, are dealt by term.
     """
-    ranked = phi.groupBy("term").agg(F.sort_array(F.collect_list(F.struct((-F.col("phi")).alias("o"), "topic"))).alias("_topics"))
-    terms = token_pos.select("docid", "term").distinct().join(ranked, "term")
-    candidates = F.col("_topics")
-    if doc_topics is not None:
-        terms = terms.join(doc_topics.groupBy("docid").agg(F.collect_set("topic").alias("_own")), "docid")
-        candidates = F.filter("_topics", lambda x: F.array_contains("_own", x["topic"]))
-    best = terms.select("docid", "term", F.get(candidates, F.lit(0))["topic"].alias("best_topic"))
-    return token_pos.join(best, ["docid", "term"], "left")
+    by = phi.groupBy("term").agg(F.sort_array(F.collect_list(F.struct((-F.col("phi")).alias("o"), "topic"))).alias("_t"), F.sum("phi").alias("_all"))
+    ranked = materialize(by.select("term", F.transform("_t", lambda x: x["topic"]).alias("_topics"), "_all"), "ranked-topics")
+    longest = ranked.agg(F.max(F.size("_topics"))).first()[0] or 1
+    often = materialize(ranked.orderBy(F.desc("_all"), "term").limit(max(1, pairs // longest)).select("term", "_topics"), "frequent-topics")
+    if doc_topics is None:
+        given = docs.withColumn("_own", F.lit(None).cast(phi.select(F.array("topic")).schema[0].dataType))
+        asked, best = F.lit(True), F.get("_topics", F.lit(0))
+    else:
+        given = docs.join(doc_topics.groupBy("docid").agg(F.collect_set("topic").alias("_own")), "docid", "left")
+        asked, best = F.col("_own").isNotNull(), F.get(F.filter("_topics", lambda t: F.array_contains("_own", t)), F.lit(0))
+    every = given.select("docid", "_own", F.posexplode_outer(tokens).alias("pos", "term")).where(F.col("pos").isNotNull())
+    out = ["docid", "pos", "term", best.alias("best_topic")]
+    met = every.join(F.broadcast(often), "term", "left").where(F.col("_topics").isNotNull() | ~asked).select(*out)
+    known = F.broadcast(often.select("term"))
+    others = every.where(asked).join(known, "term", "left_anti").join(ranked.join(known, "term", "left_anti").drop("_all"), "term", "left")
+    return met.unionAll(others.select(*out))
 
 
 def window_topic_similarity(tokens: DataFrame, scores: DataFrame, unit_cols, size: int = 4, stride: int = 1,

@@ -220,9 +220,9 @@ SELECT tp.docid, CAST(tp.pos AS INTEGER) AS pos, tp.term, best.best_topic FROM t
 def q_token_topics(spark, sf):
     """Topic of every token of every document (best phi among the document's inferred topics)."""
     phi, _ = _phi(spark, sf)
-    tp = C.doc_tokens(spark, sf).select("docid", F.posexplode_outer("tokens").alias("pos", "term")).where(F.col("pos").isNotNull())
     inferred = QM.given_probs(spark, sf).where(F.col("prob") > 0).select("docid", "topic")
-    return A.token_topics(tp, phi, inferred).select("docid", F.col("pos").cast("int"), "term", "best_topic")
+    texts = fx.corpus(spark, sf).select("docid", "text")
+    return A.token_topics(texts, phi, inferred, T.tokenize_word("text")).select("docid", F.col("pos").cast("int"), "term", "best_topic")
 
 
 def _win_sims(spark, sf):
